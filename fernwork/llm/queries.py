@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fernwork.llm import decontam, html, lines, lm, neardup, packing, quality, repeats, tokens
+from fernwork.llm import decontam, html, licenses, lines, lm, neardup, packing, quality, repeats, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +47,17 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: a tree is made of their source and id, in which every hundredth is a licence file."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", docs["source"], F.floor(docs["doc_id"] / 1000).cast("string"))
+    name = F.when(docs["doc_id"] % 100 == 0, F.lit("LICENSE")).otherwise(F.concat((docs["doc_id"] % 10).cast("string"), F.lit("/"), docs["doc_id"].cast("string"), F.lit(".txt")))
+    return licenses.scan(docs, F.concat(folder, F.lit("/"), name), id_col="doc_id")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_near_duplicates, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_decontamination, op7_html_extraction, op8_lm_scoring, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_near_duplicates, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_decontamination, op7_html_extraction, op8_lm_scoring, op9_license_scan, op10_substring_dedup)}
 SQL: dict[str, str] = {"op5_line_dedup": lines.SQL, "op6_decontamination": decontam.SQL}
