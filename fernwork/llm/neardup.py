@@ -12,9 +12,10 @@ percent / 100. Documents with equal sets form a class, which one of them stands
 
 A group is only wanted as a component, so not all its pairs are looked at. In every bucket each member is first
 compared with the smallest one. What is left are buckets whose members lie in different components; there a
-member is compared with the member that has the fewest shingles of its own, and then across components, so
-that no candidate pair between different components stays unverified. In these two steps a pair must pass an
-exact bound first: shingles that no other document of such buckets has can't be shared, and a link needs
+member is compared with the hub, the member that has the smallest part of its shingles for itself, and then
+across components, so that no candidate pair between different components stays unverified. In these two steps
+exact bounds rule pairs out first: shingles that no other document of such buckets has can't be shared, of the
+hub's shingles a pair shares at most as many as either of the two has, and a link needs
 (100 + percent) * shared >= percent * (n_x + n_y). Nothing is capped.
 
 Defined results: texts of fewer words than a shingle are one shingle of all their words; null, empty and blank
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernwork.llm.common import ship, small_join, stored
@@ -134,15 +135,23 @@ def likely(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return both.select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. A pair meets its two sets by its own key, so a hub is no hot key."""
-    numbered = pairs.distinct()
-    ends = numbered.select("x", "y", F.explode(F.array("x", "y")).alias("node"))
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y, shared, total): shingles in both full sets, and their sizes' sum. A pair meets its two sets by its own
+    key, so a hub is no hot key."""
+    ends = pairs.distinct().select("x", "y", F.explode(F.array("x", "y")).alias("node"))
     met = small_join(sets, stored(ends), ["node"]).groupBy("x", "y").agg(F.collect_list("shingles").alias("s"))
-    # repeated ids may bring several sets; any two of them that are similar link the pair
     a, b = F.get("s", F.lit(0)), F.get("s", F.lit(1))
-    shared = F.size(F.array_intersect(a, b))
-    return met.where((F.size("s") == 2) & ((100 + percent) * shared >= percent * (F.size(a) + F.size(b)))).select("x", "y")
+    return met.select("x", "y", F.size(F.array_intersect(a, b)).cast("long").alias("shared"), (F.size(a) + F.size(b)).cast("long").alias("total"))
+
+
+def similar(percent: int) -> Column:
+    """100 shared >= percent * union."""
+    return (100 + percent) * F.col("shared") >= percent * F.col("total")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    return overlaps(pairs, sets).where(similar(percent)).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,15 +191,24 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
         apart = apart.join(at_most, "node").withColumn("u", F.col("n") - F.col("alone")).drop("alone")
         apart = apart.where((100 + percent) * F.col("u") >= percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100))))
         apart = mixed_buckets(apart)
-        best = apart.groupBy("key").agg(F.max(F.struct((F.col("u") / F.col("n")).alias("part"), (-F.col("node")).alias("neg"), "u", "n", "node", "root")).alias("best"))
-        bound = lambda a, b: ((100 + percent) * F.least(F.col(a + "u"), F.col(b + "u")) >= percent * (F.col(a + "n") + F.col(b + "n")))
-        star = apart.join(stored(best), "key").where((F.col("root") != F.col("best.root")) & bound("", "best."))
-        links = stored(links.union(verified(star.select(F.col("best.node").alias("x"), F.col("node").alias("y")))))
+        best = apart.groupBy("key").agg(F.max(F.struct((F.col("u") / F.col("n")).alias("part"), (-F.col("node")).alias("neg"), "node")).alias("best"))
+        apart = stored(apart.join(stored(best.select("key", F.col("best.node").alias("hub"))), "key"))
+        # what each member shares with the hub of its bucket: links, and a closer bound for the other pairs
+        with_hub = stored(overlaps(apart.where("hub <> node").select(F.col("hub").alias("x"), F.col("node").alias("y")), sets))
+        links = stored(links.union(with_hub.where(similar(percent)).select("x", "y")))
         roots = components(links)
         rest = mixed_buckets(apart)
         if not rest.isEmpty():
-            a, b = rest.select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", "u", "n"))), rest.select("key", *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "u", "n")))
-            across = a.join(b, "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & bound("a_", "b_"))
+            hubs = with_hub.select(F.col("x").alias("hub"), F.col("y").alias("node"), "shared")
+            keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))
+            rest = rest.join(hubs, ["hub", "node"], "left").join(keys, "node").withColumn("c", F.coalesce("shared", "n")).withColumn("e", F.greatest(F.col("u") - F.col("c"), F.lit(0)))
+            rest = stored(rest.select("key", "node", "root", "n", "c", "e", "keys"))
+            a, b = (rest.select("key", *(F.col(x).alias(f"{side}_{x}") for x in ("node", "root", "n", "c", "e", "keys"))) for side in "ab")
+            # of the shared shingles some are the hub's, at most as many as either has, and the others are no one's own
+            most = F.least("a_c", "b_c") + F.least("a_e", "b_e")
+            bound = (100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))
+            once = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
+            across = a.join(b, "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & bound & once)
             links = stored(links.union(verified(across.select(F.col("a_node").alias("x"), F.col("b_node").alias("y")))))
             roots = components(links)
     named = relabel(classes, roots).select("h1", "h2", "root")
