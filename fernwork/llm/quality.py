@@ -62,21 +62,23 @@ def counts(t: Column, w: Column) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strata_col: str | None = "lang") -> DataFrame:
-    """Per row: id, stratum, the counts, n_lines, n_marks and base_failed."""
+    """Per row: id, stratum and m, the struct of the counts."""
     stratum = docs[strata_col].cast("string") if strata_col and strata_col in docs.columns else F.lit("all")
-    whole = let(F.coalesce(docs[text_col].cast("string"), F.lit("")), lambda t: let(words(t), lambda w: counts(t, w)))
-    at = F.col
-    df = docs.select(docs[id_col].alias(id_col), stratum.alias("stratum"), whole.alias("m")).select(id_col, "stratum", "m.*")
-    return df.withColumn("base_failed", (at("n_words") < 50) | (100 * at("n_repeat_words") > 50 * at("n_words")))
+    return docs.select(docs[id_col].alias(id_col), stratum.alias("stratum"), measure(docs[text_col]).alias("m"))
 
 
-def rates() -> dict[str, Column]:
+def measure(text: Column) -> Column:
+    return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(words(t), lambda w: counts(t, w)))
+
+
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+
+def rates(m: Column) -> dict[str, Column]:
     """The rules' values; null where a text has no words."""
-    at, per = F.col, lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    return {
-        "symbols_per_word": per("n_symbols", "n_words"), "repeated_line_share": per("n_dup_lines", "n_lines"), "repeated_word_share": per("n_repeat_words", "n_words"),
-        "word_length": per("word_chars", "n_words"), "marks_per_word": F.when(at("n_words") > 0, at("n_marks") / at("n_words")),
-    }
+    per = lambda a, b: F.when(m[b] > 0, m[a] / m[b])
+    return {"symbols_per_word": per("n_symbols", "n_words"), "repeated_line_share": per("n_dup_lines", "n_lines"), "repeated_word_share": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words"), "marks_per_word": per("n_marks", "n_words")}
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -85,22 +87,22 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(map(math.exp, logs)))
 
 
-def known(strata: tuple[str, ...]) -> Column:
-    return F.when(F.col("stratum").isin(*strata), F.col("stratum")).otherwise("other") if strata else F.lit("all")
+def known(stratum: Column, strata: tuple[str, ...]) -> Column:
+    return F.when(stratum.isin(*strata), stratum).otherwise("other") if strata else F.lit("all")
 
 
 def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.05, miss: float = 0.05, strata: tuple[str, ...] = STRATA, id_col: str = "doc_id", text_col: str = "text", strata_col: str | None = "lang") -> dict[str, dict[str, float]]:
     """Per stratum the cutoff of each rule that could be proved. Collects one row of counts per listed stratum."""
     good = labels.where(labels[id_col].isNotNull() & labels["quality"].isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
-    total = good.count()
-    share = min(1.0, LABELLED / max(total, 1))
+    share = min(1.0, LABELLED / max(good.count(), 1))
     drawn = good.where((F.pmod(F.xxhash64(F.col(id_col), F.lit("holdout")), F.lit(1_000_000)) < int(share * 1_000_000)) & (F.col("quality") == 1)).select(id_col)
-    held = small_join(docs, drawn, [id_col], "left_semi")
-    held = measured(held, id_col, text_col, strata_col).where(~F.col("base_failed")).withColumn("stratum", known(strata))
-    values = rates()
-    counts = [F.count(F.when(values[r] > c, 1)).alias(f"{r}:{k}") for r, cs in RULES.items() for k, c in enumerate(cs)]
+    held = measured(small_join(docs, drawn, [id_col], "left_semi"), id_col, text_col, strata_col)
+    fit = F.col("fit")
+    values = rates(F.col("m"))
+    many = [F.count(F.when(fit & (values[r] > c), 1)).alias(f"{r}:{k}") for r, cs in RULES.items() for k, c in enumerate(cs)]
     groups, out = len(strata) + 1, {}
-    for row in held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts).collect():
+    held = held.select(known(F.col("stratum"), strata).alias("stratum"), "m", (~base_failed(F.col("m"))).alias("fit"))
+    for row in held.groupBy("stratum").agg(F.count(F.when(fit, 1)).alias("n"), *many).collect():
         got = out[row["stratum"]] = {}
         for r, cs in RULES.items():
             for k, c in enumerate(cs):
@@ -110,28 +112,25 @@ def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.05, miss: float
     return out
 
 
-def judge(docs: DataFrame, chosen: dict[str, dict[str, float]], strata: tuple[str, ...] = STRATA, id_col: str = "doc_id", text_col: str = "text", strata_col: str | None = "lang") -> DataFrame:
-    """measured(docs) with the verdict `kept` under the chosen cutoffs."""
-    df = measured(docs, id_col, text_col, strata_col).withColumn("stratum", known(strata))
+def verdict(m: Column, stratum: Column, chosen: dict[str, dict[str, float]]) -> Column:
+    """Whether a text with counts m is kept."""
     over = F.lit(False)
     for s, rules in chosen.items():
         for r, c in rules.items():
-            over = over | ((F.col("stratum") == s) & F.coalesce(rates()[r] > c, F.lit(False)))
-    return df.withColumn("kept", ~F.col("base_failed") & ~over)
+            over = over | ((stratum == s) & F.coalesce(rates(m)[r] > c, F.lit(False)))
+    return ~base_failed(m) & ~over
 
 
-def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, strata: tuple[str, ...] = STRATA, id_col: str = "doc_id", text_col: str = "text", strata_col: str | None = "lang", **options) -> DataFrame:
     """Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    own = {k: v for k, v in options.items() if k in ("strata", "id_col", "text_col", "strata_col")}
-    df = judge(docs, cutoffs(docs, labels, **options), **own)
-    return df.select(own.get("id_col", "doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    chosen = cutoffs(docs, labels, strata=strata, id_col=id_col, text_col=text_col, strata_col=strata_col, **options)
+    m, df = F.col("m"), measured(docs, id_col, text_col, strata_col)
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return df.select(id_col, *(m[c].alias(c) for c in shown), base_failed(m).alias("base_failed"), verdict(m, known(F.col("stratum"), strata), chosen).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, strata: tuple[str, ...] = STRATA, id_col: str = "doc_id", text_col: str = "text", strata_col: str | None = "lang", **options) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    own = {k: v for k, v in options.items() if k in ("strata", "id_col", "text_col", "strata_col")}
-    chosen = cutoffs(docs, labels, **options)
-    id_col, text_col, strata_col = own.get("id_col", "doc_id"), own.get("text_col", "text"), own.get("strata_col", "lang")
-    whole = F.struct(*[docs[c] for c in docs.columns])
-    carried = docs.select(whole.alias(id_col), docs[text_col].alias(text_col), *([docs[strata_col].alias(strata_col)] if strata_col and strata_col in docs.columns else []))
-    return judge(carried, chosen, **own).where("kept").select(f"{id_col}.*")
+    chosen = cutoffs(docs, labels, strata=strata, id_col=id_col, text_col=text_col, strata_col=strata_col, **options)
+    stratum = docs[strata_col].cast("string") if strata_col and strata_col in docs.columns else F.lit("all")
+    return docs.where(let(measure(docs[text_col]), lambda m: verdict(m, known(stratum, strata), chosen)))
