@@ -67,7 +67,7 @@ class Index:
         """(id, th, item, start, first): windows all of whose rarest places meet; start is that of the item in the text."""
         lists = small_join(self.postings, self.places, ["term"]).select("id", "th", "item", "place", (F.col("pos") - F.col("place")).alias("start"))
         if slop:  # two overlapping buckets of starts, so that any two within slop share one
-            lists = lists.withColumn("start", F.explode(F.array(F.floor(F.col("start") / (2 * slop)) * 2 * slop, F.floor((F.col("start") + slop) / (2 * slop)) * 2 * slop - slop)).cast("int"))
+            lists = lists.withColumn("start", F.explode(F.array(*[(F.floor((F.col("start") + shift) / (2 * slop)) * 2 * slop - shift).cast("int") for shift in (0, slop)])))
         found = lists.groupBy("id", "th", "item", "start").agg(F.collect_set("place").alias("have"))
         return small_join(found, self.needed, ["item"]).where(F.size(F.array_except("places", "have")) == 0).select("id", "th", "item", "start", "first")
 

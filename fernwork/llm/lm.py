@@ -238,7 +238,7 @@ def log_table(p: np.ndarray) -> np.ndarray:
 
 
 def scored(rows: DataFrame, v: Vocabulary, p: np.ndarray) -> DataFrame:
-    """rows (rid, text): n_tokens, known, base and model (both without the counts of infrequent words), and those words."""
+    """rows (id, held_out, text): n_tokens, known, base and model (both without the counts of infrequent words), and those words."""
     sent = rows.sparkSession.sparkContext.broadcast((v, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,11 +272,11 @@ def scored(rows: DataFrame, v: Vocabulary, p: np.ndarray) -> DataFrame:
             cut = np.searchsorted(own, np.arange(len(lists) + 1))
             sums = [np.add.reduceat(x, starts) if len(lists) else x[:0] for x in (base, model.astype(np.float64), known.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(
-                [part.column("rid"), pa.array(np.diff(offsets) + 1), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hashes))],
-                names=["rid", "n_tokens", "known", "base", "model", "rare"],
+                [part.column("id"), part.column("held_out"), pa.array(np.diff(offsets) + 1), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hashes))],
+                names=["id", "held_out", "n_tokens", "known", "base", "model", "rare"],
             )
 
-    return rows.mapInArrow(run, "rid bigint, n_tokens bigint, known bigint, base double, model double, rare array<bigint>")
+    return rows.select("id", "held_out", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<bigint>")
 
 
 def score(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,10 +290,8 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "doc_id"
     texts = train.count()
     v = Vocabulary(counts, texts)
     p = trained(train, v)
-    numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    ids = stored(numbered.select("rid", "id", "held_out"))
-    part = stored(scored(numbered.select("rid", "text"), v, p))
+    part = stored(scored(rows, v, p).withColumn("rid", F.monotonically_increasing_id()))
     rare = part.select("rid", F.explode("rare").alias("h")).join(counts.select("h", "n"), "h").groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("logs"))
-    df = part.drop("rare").join(ids, "rid").join(rare, "rid", "left")
+    df = part.drop("rare").join(rare, "rid", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return df.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("model") + logs).alias("score"))
