@@ -371,15 +371,22 @@ class Parser:
     def insert(self) -> n.Insert:
         self.need_word("INTO")
         name = self.name()
+        columns: tuple = ()
+        if self.op("("):
+            columns = tuple(self.listed(self.name))
+            self.need_op(")")
         self.need_word("VALUES")
 
-        def row() -> dict:
+        def row() -> tuple:
             self.need_op("(")
-            out = self.properties()
+            if self.is_op("{"):
+                out: Any = self.properties()
+            else:
+                out = tuple(self.listed(self.value))
             self.need_op(")")
             return out
 
-        return n.Insert(name, tuple(self.listed(row)))
+        return n.Insert(name, tuple(self.listed(row)), columns)
 
     def update(self) -> n.Update:
         self.need_word("UPDATE")
@@ -491,26 +498,6 @@ class SqlParser(Parser):
             q.where = self.expression()
         return self.tail(q)
 
-    def insert(self) -> n.Insert:
-        self.need_word("INTO")
-        name = self.name()
-        columns: tuple = ()
-        if self.op("("):
-            columns = tuple(self.listed(self.name))
-            self.need_op(")")
-        self.need_word("VALUES")
-
-        def row() -> tuple:
-            self.need_op("(")
-            if self.is_op("{"):
-                out: Any = self.properties()
-            else:
-                out = tuple(self.listed(self.value))
-            self.need_op(")")
-            return out
-
-        return n.Insert(name, tuple(self.listed(row)), columns)
-
 
 class CypherParser(Parser):
     two_valued = False
