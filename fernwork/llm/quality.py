@@ -134,3 +134,27 @@ def keep(docs: DataFrame, labels: DataFrame, strata: tuple[str, ...] = STRATA, i
     chosen = cutoffs(docs, labels, strata=strata, id_col=id_col, text_col=text_col, strata_col=strata_col, **options)
     stratum = docs[strata_col].cast("string") if strata_col and strata_col in docs.columns else F.lit("all")
     return docs.where(let(measure(docs[text_col]), lambda m: verdict(m, known(stratum, strata), chosen)))
+
+
+def sql(risk: float = 0.05, miss: float = 0.05) -> str:
+    """DuckDB SQL of score over documents and labels, where there are at most LABELLED labelled documents."""
+    cuts = ", ".join(f"('{r}', {k}, {c})" for r, cs in RULES.items() for k, c in enumerate(cs))
+    p, most = risk / len(RULES), miss / ((len(STRATA) + 1) * len(RULES))
+    space = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH d AS (SELECT doc_id, CASE WHEN lang IN {STRATA} THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+a AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+v AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM a) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT d.doc_id, stratum, len(w) AS n_words, length(regexp_replace(t, '{space}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(t) - length(replace(t, '!', '')) AS n_marks, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words FROM d LEFT JOIN v USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+x AS (SELECT doc_id, stratum, base_failed, unnest(['symbols_per_word', 'repeated_line_share', 'repeated_word_share', 'word_length', 'marks_per_word']) AS r, unnest([n_symbols / nullif(n_words, 0), n_dup_lines / nullif(n_lines, 0), n_repeat_words / nullif(n_words, 0), word_chars / nullif(n_words, 0), n_marks / nullif(n_words, 0)]) AS x FROM b),
+c(r, k, c) AS (VALUES {cuts}),
+y AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+n AS (SELECT stratum, r, k, c, count(*) AS n, count(*) FILTER (x > c) AS rejected FROM x SEMI JOIN y USING (doc_id) JOIN c USING (r) WHERE NOT base_failed GROUP BY ALL),
+q AS (SELECT *, list_sum(list_transform(range(0, rejected + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {most} AS good FROM n),
+o AS (SELECT stratum, r, min(c) AS c FROM (SELECT *, bool_and(good) OVER (PARTITION BY stratum, r ORDER BY k) AS proved FROM q) WHERE proved GROUP BY ALL),
+f AS (SELECT DISTINCT doc_id FROM x JOIN o USING (stratum, r) WHERE x > CAST(c AS DOUBLE))
+SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND f.doc_id IS NULL AS kept FROM b LEFT JOIN f USING (doc_id)
+"""

@@ -60,4 +60,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_near_duplicates, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_decontamination, op7_html_extraction, op8_lm_scoring, op9_license_scan, op10_substring_dedup)}
-SQL: dict[str, str] = {"op5_line_dedup": lines.SQL, "op6_decontamination": decontam.SQL}
+SQL: dict[str, str] = {"op2_near_duplicates": neardup.SQL, "op4_quality_rules": quality.sql(), "op5_line_dedup": lines.SQL, "op6_decontamination": decontam.SQL, "op10_substring_dedup": repeats.SQL}

@@ -246,3 +246,15 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, _ = split_texts(part.column("text"))
         h = np.array([np.frombuffer(hashlib.sha256(b" ".join(x)).digest()[:16], np.int64) for x in lists], np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["id", "text", "h1", "h2"])
+
+
+#: DuckDB SQL of remove_repeats over documents (50 words).
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+h AS (SELECT doc_id, i FROM g QUALIFY min(doc_id) OVER (PARTITION BY win) < doc_id),
+o AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM h),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT doc_id, count(o.i) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY t.i) FILTER (o.i IS NULL), '')) AS s FROM t LEFT JOIN o USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(s, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
