@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernwork.functions.expressions import QueryError
@@ -29,6 +29,10 @@ def drop(catalog: Catalog, name: str) -> None:
         raise QueryError(f"no index {name}")
 
 
+def listed(catalog: Catalog, spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, *v) for k, v in sorted(catalog.indexes.items())], "name string, collection string, property string, is_unique boolean")
+
+
 def violations(df: DataFrame, column: str) -> DataFrame:
     """(column, rows) of values that occur more than once; nulls aren't indexed."""
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -63,6 +63,13 @@ def trail_quality(trails: DataFrame) -> DataFrame:
     return trails.withColumn("quality", F.col("pheromone") * rate / (1 + F.col("ms") / 100.0))
 
 
+def trails_kept(trails: DataFrame, capacity: int, least: float = 0.2, minutes: int = 60) -> DataFrame:
+    """Trails (pheromone, runs, successes, ms, idle minutes) after an upkeep: they evaporate, weak and long unused
+    ones go, and of the others the best `capacity` by quality stay (equal quality: by all columns)."""
+    df = evaporated(trails).where((F.col("pheromone") >= least) & (F.col("idle") <= minutes))
+    return trail_quality(df).orderBy(F.col("quality").desc(), *trails.columns).limit(capacity)
+
+
 def reconfigured(edges: DataFrame, idle: int = 60) -> DataFrame:
     """edges (_src, _dst, pheromone, flow, latency, idle seconds) after one round of flow-driven upkeep.
 

@@ -60,6 +60,17 @@ def graph_stats(catalog: Catalog) -> DataFrame:
     return entities.join(F.broadcast(edges)).withColumn("collections", F.lit(len(catalog.collections)).cast("bigint"))
 
 
+def dashboard(catalog: Catalog) -> DataFrame:
+    """One row: entities, edges, properties (that aren't null, keys not counted), collections (that have rows)."""
+    parts = None
+    for c in catalog.collections.values():
+        held = sum((F.count(F.col(f"`{x}`")) for x in c.df.columns if x != c.key), F.lit(0))
+        one = c.df.agg(F.count(F.lit(1)).alias("n"), held.alias("p"))
+        parts = one if parts is None else parts.union(one)
+    out = parts.agg(F.sum("n").alias("entities"), F.sum("p").alias("properties"), F.count(F.when(F.col("n") > 0, 1)).alias("collections"))
+    return out.join(F.broadcast(all_edges(catalog).agg(F.count(F.lit(1)).alias("edges"))))
+
+
 def collection_stats(catalog: Catalog, name: str, edge: EdgeType | None = None) -> DataFrame:
     """One row: rows, avg_properties (that aren't null, the key not counted), avg_degree over an edge type."""
     c = catalog.collection(name)

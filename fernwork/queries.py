@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernwork.operators import changes, constraints, indexes, joins, paths, pheromone, shards, stats, versions
+from fernwork.operators.catalog import Catalog
 from fernwork.plans import nodes as n
 from fernwork.plans.parser import parse
 from fernwork.sources.tables import load, table
@@ -387,6 +388,35 @@ def collection_stats(spark: SparkSession, sf: str) -> DataFrame:
     return stats.collection_stats(c, "Customer", c.edges["PLACED"])
 
 
+@built("SELECT (SELECT count(*) FROM nation) AS entities, (SELECT count(*) * 2 FROM nation) AS properties, CAST(1 AS BIGINT) AS collections, (SELECT count(*) FROM nation) AS edges")
+def dashboard_stats(spark: SparkSession, sf: str) -> DataFrame:
+    c, whole = Catalog(), load(spark, sf).catalog
+    c.collections["Nation"], c.edges["PART_OF"] = whole.collections["Nation"], whole.edges["PART_OF"]
+    return stats.dashboard(c)
+
+
+@built("SELECT c_mktsegment, count(*) AS rich FROM customer WHERE c_acctbal > 5000 GROUP BY 1")
+def view_query(spark: SparkSession, sf: str) -> DataFrame:
+    s = load(spark, sf).session()
+    s.view("Rich", "FROM Customer WHERE c_acctbal > 5000 SELECT *", "c_custkey")
+    return s.execute("FROM Rich SELECT c_mktsegment, COUNT(*) AS rich GROUP BY c_mktsegment")
+
+
+@built("SELECT n_name AS name, n_regionkey AS k FROM nation UNION ALL SELECT r_name, r_regionkey FROM region")
+def insert_from(spark: SparkSession, sf: str) -> DataFrame:
+    s = load(spark, sf).session()
+    s.view("Places", "FROM Nation SELECT n_name AS name, n_regionkey AS k")
+    s.insert_from("Places", s.execute("FROM Region SELECT r_name AS name, r_regionkey AS k"))
+    return s.execute("FROM Places SELECT name, k")
+
+
+@built("WITH t AS (SELECT user_id, count(*) AS runs, count(*) FILTER (event_type = 'purchase') AS successes, min(event_id) % 200 AS ms, CAST(0.125 + (user_id % 64) / 8.0 AS DOUBLE) * CAST(0.95 AS DOUBLE) AS p FROM events GROUP BY user_id) SELECT user_id, runs, successes FROM t WHERE p >= 0.2 AND user_id % 80 <= 60 ORDER BY p * (successes / runs) / (1 + ms / 100.0) DESC, user_id LIMIT 50")
+def trails_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("successes"), (F.min("event_id") % 200).alias("ms"))
+    t = t.withColumn("pheromone", F.lit(0.125) + F.pmod("user_id", F.lit(64)) / 8.0).withColumn("idle", F.col("user_id") % 80)
+    return pheromone.trails_kept(t, 50).select("user_id", "runs", "successes")
+
+
 @built()
 def shard_placement(spark: SparkSession, sf: str) -> DataFrame:
     placed = shards.shard_map(spark, shards.Ring(["a", "b", "c"]))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from fernwork.functions.expressions import QueryError
 from fernwork.operators import changes, indexes, paths, stats
@@ -175,6 +176,26 @@ class Session:
         self.db.write_log(self.txn, "rollback")
         self.own = self.base = None
 
+    # tables
+    def view(self, name: str, text: str, key: str | None = None) -> None:
+        """Makes a query's rows a collection; the query runs when the collection is read."""
+        self.catalog.add(name, self.execute(text), key)
+
+    def insert_from(self, collection: str, rows: DataFrame) -> None:
+        """Adds the rows of a table; columns that the collection lacks are added to it."""
+        c = self.catalog.collection(collection)
+        kinds = {f.name: f.dataType for f in c.df.schema.fields}
+        changes.put(self.catalog, c, c.df.unionByName(rows.select(*[rows[x].cast(kinds[x]).alias(x) if x in kinds else rows[x] for x in rows.columns]), allowMissingColumns=True))
+
+    def filter(self, collection: str, passes: Callable[[DataFrame], Column]) -> DataFrame:
+        """Rows that pass: passes gets the table and gives a condition, built-in or a pandas UDF over its columns."""
+        df = self.catalog.collection(collection).df
+        return df.where(passes(df))
+
+    def entity(self, collection: str, key: int) -> DataFrame:
+        c = self.catalog.collection(collection)
+        return c.df.where(c.df[c.key] == key)
+
     # graph interface
     def edges(self, *types: str) -> DataFrame:
         """(_src, _dst, _type, pheromone) of some edge types, or all."""

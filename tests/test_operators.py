@@ -137,3 +137,30 @@ def test_windows_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("tumbling")) == rows(feeds.tumbling(df, "1 hour"))
+
+
+def test_log_folder(spark, tmp_path):
+    from fernwork.sources import log
+
+    folder = str(tmp_path / "wal")
+    log.append(spark, folder, [(1, 1, "begin", ""), (2, 1, "insert", "x")])
+    log.append(spark, folder, [(3, 1, "commit", "")])
+    assert rows(versions.outcomes(log.read(spark, folder))) == [(1, "committed", 1)]
+    q = log.stream(spark, folder).writeStream.format("memory").queryName("wal").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("wal").count() == 3
+
+
+def test_session_tables(spark):
+    from fernwork.operators import indexes
+    from fernwork.session import Database
+
+    db = Database(spark)
+    db.catalog.add("U", spark.createDataFrame([(1, 5), (2, 8)], "id bigint, x bigint"), "id")
+    s = db.session()
+    even = F.pandas_udf(lambda x: x % 2 == 0, "boolean")
+    assert rows(s.filter("U", lambda df: even(df["x"]))) == [(2, 8)] and rows(s.filter("U", lambda df: df["x"] < 6)) == [(1, 5)]
+    assert rows(s.entity("U", 2)) == [(2, 8)]
+    s.execute("CREATE INDEX i ON U(x)")
+    assert rows(indexes.listed(db.catalog, spark)) == [("i", "U", "x", False)]
