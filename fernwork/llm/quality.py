@@ -91,7 +91,7 @@ def known(stratum: Column, strata: tuple[str, ...]) -> Column:
     return F.when(stratum.isin(*strata), stratum).otherwise("other") if strata else F.lit("all")
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.05, miss: float = 0.05, strata: tuple[str, ...] = STRATA, id_col: str = "doc_id", text_col: str = "text", strata_col: str | None = "lang") -> dict[str, dict[str, float]]:
+def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.02, miss: float = 0.05, strata: tuple[str, ...] = STRATA, id_col: str = "doc_id", text_col: str = "text", strata_col: str | None = "lang") -> dict[str, dict[str, float]]:
     """Per stratum the cutoff of each rule that could be proved. Collects one row of counts per listed stratum."""
     good = labels.where(labels[id_col].isNotNull() & labels["quality"].isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
     share = min(1.0, LABELLED / max(good.count(), 1))
@@ -136,7 +136,7 @@ def keep(docs: DataFrame, labels: DataFrame, strata: tuple[str, ...] = STRATA, i
     return docs.where(let(measure(docs[text_col]), lambda m: verdict(m, known(stratum, strata), chosen)))
 
 
-def sql(risk: float = 0.05, miss: float = 0.05) -> str:
+def sql(risk: float = 0.02, miss: float = 0.05) -> str:
     """DuckDB SQL of score over documents and labels, where there are at most LABELLED labelled documents."""
     cuts = ", ".join(f"('{r}', {k}, {c})" for r, cs in RULES.items() for k, c in enumerate(cs))
     p, most = risk / len(RULES), miss / ((len(STRATA) + 1) * len(RULES))

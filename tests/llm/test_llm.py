@@ -121,14 +121,14 @@ def test_quality_risk(spark):
     seen = sample(6000)
     docs = spark.createDataFrame(seen, "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _, _ in seen], "doc_id bigint, quality int")
-    chosen = quality.cutoffs(docs, labels)
+    chosen = quality.cutoffs(docs, labels, risk=0.05)
     assert chosen["en"]["symbols_per_word"] <= 1.5 and set(chosen) == {"en", "fr"}
     new = sample(2000)
     m = quality.measured(spark.createDataFrame(new, docs.schema))
     kept = {r["doc_id"] for r in m.where(quality.verdict(m["m"], quality.known(m["stratum"], quality.STRATA), chosen)).collect()}
     good = [i for i, _, _ in new if i % 4]
     assert sum(i not in kept for i in good) <= 0.05 * len(good) and sum(i in kept for i, _, _ in new if i % 4 == 0) < 0.1 * 500
-    assert quality.cutoffs(docs.limit(200), labels) in ({}, {"en": {}, "fr": {}}, {"en": {}}, {"fr": {}})
+    assert quality.cutoffs(docs.limit(200), labels, risk=0.05) in ({}, {"en": {}, "fr": {}}, {"en": {}}, {"fr": {}})
     exact = sum(math.comb(300, k) * 0.02**k * 0.98 ** (300 - k) for k in range(3))
     assert abs(quality.binomial_tail(2, 300, 0.02) - exact) < 1e-12
 
