@@ -18,15 +18,21 @@ def reachable(starts: DataFrame, edges: DataFrame, least: int = 1, most: int | N
 
     Only pairs that are new go on to the next hop, so cycles end and the work is bounded by the pairs there are."""
     steps = edges.select(F.col("_src").alias("_m"), "_dst").distinct()
-    lazy = most is not None and most <= UNROLLED
-    keep = (lambda df: df) if lazy else stored
-    front = starts.select("_src", F.col("_src").alias("_dst"), F.lit(0).alias("depth"))
-    seen, hop = front, 0
+    front = starts.select("_src", F.col("_src").alias("_dst"))
+    onward = lambda df: df.select("_src", F.col("_dst").alias("_m")).join(steps, "_m").select("_src", "_dst").distinct()
+    if most is not None and most <= UNROLLED:
+        found = None
+        for hop in range(1, most + 1):
+            front = onward(front)
+            level = front.withColumn("depth", F.lit(hop))
+            found = level if found is None else found.unionByName(level)
+        pairs = found.where("_src <> _dst").groupBy("_src", "_dst").agg(F.min("depth").alias("depth"))
+        return pairs.where(F.col("depth") >= max(least, 1))
+    seen, hop = front.withColumn("depth", F.lit(0)), 0
     while most is None or hop < most:
         hop += 1
-        far = front.select("_src", F.col("_dst").alias("_m")).join(steps, "_m").select("_src", "_dst").distinct()
-        front = keep(far.join(seen.select("_src", "_dst"), ["_src", "_dst"], "left_anti").withColumn("depth", F.lit(hop)))
-        if not lazy and front.isEmpty():
+        front = stored(onward(front).join(seen.select("_src", "_dst"), ["_src", "_dst"], "left_anti").withColumn("depth", F.lit(hop)))
+        if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen.where(F.col("depth") >= max(least, 1))

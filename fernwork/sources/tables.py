@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fernwork.operators.catalog import Catalog
 from fernwork.session import Database
 
 
@@ -37,10 +38,20 @@ def trade(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, supplier:
     return counts.withColumn("pheromone", F.lit(0.125) + F.pmod("lines", F.lit(64)) / 8.0)
 
 
+#: Catalogs by application and folder: tables' schemas are read once, data whenever a query runs.
+_catalogs: dict[tuple[str, str], Catalog] = {}
+
+
 def load(spark: SparkSession, folder: str) -> Database:
     """Collections Customer, Orders, Lineitem, Part, Supplier, Nation, Region, Event; edge types between them."""
-    db = Database(spark)
-    c = db.catalog
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _catalogs:
+        _catalogs[key] = described(spark, folder)
+    return Database(spark, _catalogs[key].copy())
+
+
+def described(spark: SparkSession, folder: str) -> Catalog:
+    c = Catalog()
     t = {name: table(spark, folder, name) for name in ("customer", "orders", "lineitem", "part", "supplier", "nation", "region", "events")}
     for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("region", "r_regionkey")):
         c.add(name.capitalize(), t[name], key)
@@ -57,4 +68,4 @@ def load(spark: SparkSession, folder: str) -> Database:
     c.add_edge("TRIGGERED", t["events"].select("user_id", F.col("event_id").alias("key"), "event_type"), "user_id", "key", "Customer", "Event")
     c.add_edge("NEXT", next_orders(t["orders"]), "o_orderkey", "next_key", "Orders", "Orders")
     c.add_edge("TRADES", trade(t["customer"], t["orders"], t["lineitem"], t["supplier"]), "c_nationkey", "s_nationkey", "Nation", "Nation")
-    return db
+    return c
