@@ -44,7 +44,8 @@ def cleaned(docs: DataFrame, ratio: float = RATIO, least: int = PAGES, text_col:
     host = docs[host] if isinstance(host, str) else host
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), host.cast("string").alias("host"), docs[text_col].cast("string").alias("text"))
     bad = stored(boilerplate(rows.select("host", "text"), ratio, least)).select(F.coalesce("host", F.lit("")).alias("k"), F.col("host").isNull().alias("none"), "bad")
-    met = small_join(rows.withColumn("k", F.coalesce("host", F.lit(""))).withColumn("none", F.col("host").isNull()), bad, ["k", "none"], "left")
+    held = bad.agg(F.sum(F.size("bad"))).first()[0] or 0  # the lists' lines count, not the hosts
+    met = small_join(rows.withColumn("k", F.coalesce("host", F.lit(""))).withColumn("none", F.col("host").isNull()), bad, ["k", "none"], "left", held)
 
     def kept(lines: Column) -> Column:
         return F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("bad"), F.struct(F.xxhash64(F.trim(x, F.lit(SPACES))).alias("a"), F.xxhash64(F.lit(1), F.trim(x, F.lit(SPACES))).alias("b"))), F.lit(False)))
