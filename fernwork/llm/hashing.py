@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import xxhash
 
 #: Different words a worker's cache may hold before it starts afresh.
-CACHE = 500_000
+CACHE = 200_000
 #: Bytes of text hashed at a time; a longer text is a piece of its own.
 PIECE = 3_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -67,7 +67,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about `size` bytes of the column."""
     for batch in batches:
-        lengths = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column(column)).to_pylist()], np.int64) if batch.num_rows else np.empty(0, np.int64)
+        lengths = np.array([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()], np.int64) if batch.num_rows else np.empty(0, np.int64)
         start, total = 0, 0
         for k, n in enumerate(lengths.tolist()):
             if total + n > size and k > start:
@@ -76,6 +76,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE) ->
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # a worker may idle beside others
 
 
 def split_texts(column: pa.Array, lower: bool = False) -> tuple[list[list[bytes]], np.ndarray]:
@@ -86,3 +87,17 @@ def split_texts(column: pa.Array, lower: bool = False) -> tuple[list[list[bytes]
     offsets = np.zeros(len(lists) + 1, np.int64)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
     return lists, offsets
+
+
+def encoded_words(column: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Different words of the texts, the words' places among them one after the other, and the texts' offsets."""
+    texts = pc.fill_null(column.cast(pa.string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)  # cuts at U+0009..U+000D and space
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    full = pc.binary_length(flat).to_numpy() > 0
+    if not full.all():
+        offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
+        flat = flat.filter(pa.array(full))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets

@@ -34,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernwork.llm.common import ship, stored
-from fernwork.llm.hashing import pieces, split_texts, word_hashes
+from fernwork.llm.hashing import encoded_words, pieces, word_hashes
 
 CLASSES, OWN, SIZE = 256, 160, 24
 #: Words whose counts are sent to workers, at most; minibatch, noise samples of a batch, rounds, and batches that a task trains at least.
-TOP, BATCH, NOISE, ROUNDS, BATCHES = 200_000, 8192, 128, 2, 100
+TOP, BATCH, NOISE, ROUNDS, BATCHES = 200_000, 8192, 32, 2, 100
+#: Bytes of text handled at a time.
+SLICE = 8_000_000
 END = 0
-_shared: dict = {}
 
 
 def suffix(word: bytes) -> int:
@@ -48,25 +49,12 @@ def suffix(word: bytes) -> int:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """rows (text): (h, suffix, n) of all words."""
+    """rows (text): (h, suffix, n) of all words. A slice of texts gives each of its words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        count: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = list(count)
-            made = pa.RecordBatch.from_arrays([pa.array(word_hashes(words).view(np.int64)), pa.array(map(suffix, words), pa.int32()), pa.array(list(count.values()), pa.int64())], names=["h", "suffix", "n"])
-            count.clear()
-            return made
-
-        for part in pieces(batches, "text"):
-            for words in split_texts(part.column("text"), lower=True)[0]:
-                count.update(words)
-            if len(count) > 400_000:
-                yield out()
-        yield out()
+        for part in pieces(batches, "text", SLICE):
+            words, at, _ = encoded_words(part.column("text"), lower=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words).view(np.int64)), pa.array(map(suffix, words), pa.int32()), pa.array(np.bincount(at, minlength=len(words)))], names=["h", "suffix", "n"])
 
     return rows.select("text").mapInArrow(run, "h bigint, suffix int, n bigint").groupBy("h").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"))
 
@@ -85,7 +73,6 @@ class Vocabulary:
             least, held = at, held + many
         top = [] if least is None else counts.where(level >= least).collect()
         top = sorted(((r["n"], r["h"], r["suffix"]) for r in top), key=lambda x: (-x[0], x[1]))
-        self.own = {h & (2**64 - 1): k + 1 for k, (_, h, _) in enumerate(top[:OWN])}
         self.top = {h & (2**64 - 1): k + 1 for k, (_, h, _) in enumerate(top)}
         self.top_counts = np.array([0, *(n for n, _, _ in top)], np.int64)
         sums = {r["suffix"]: [r["n"], r["v"]] for r in counts.groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # 65,536 rows at most
@@ -109,33 +96,47 @@ class Vocabulary:
         self.share = (share / share.sum()).astype(np.float64)
 
 
-class Coder(dict):
-    """Word -> class + CLASSES * place among the frequent words (0: none)."""
+def coded(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """rows (id, held_out, text), read once for training and scoring: n_tokens, known, the sums of log counts (base) and
+    of log frequencies within classes (within) of all but infrequent words, those words' hashes, the words' classes."""
+    sent = rows.sparkSession.sparkContext.broadcast(v)
 
-    def __init__(self, v: Vocabulary):
-        super().__init__()
-        self.v = v
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        log_count = np.log10(v.top_counts + 1.0)
+        end = math.log10(v.texts + 1)
+        for part in pieces(batches, "text", SLICE):
+            words, at, offsets = encoded_words(part.column("text"), lower=True)
+            hashes = word_hashes(words)
+            place = np.fromiter((v.top.get(h, 0) for h in hashes.tolist()), np.int64, len(words))
+            ends = np.fromiter((v.suffixes.get(suffix(w), OWN + 1) for w in words), np.int64, len(words))
+            kind = np.where((place > 0) & (place <= OWN), place, ends)
+            inside = np.where(kind > OWN, log_count[place] - v.log_total[kind], 0.0)
+            text = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+            sums = [np.bincount(text, x[at], part.num_rows) for x in (log_count[place], inside, (place > 0).astype(np.float64))]
+            rare = np.flatnonzero(place[at] == 0)
+            cut = np.searchsorted(rare, offsets)
+            classes = kind[at].astype(np.uint8).tobytes()
+            n = np.diff(offsets) + 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("id"), part.column("held_out"), pa.array(n), pa.array(sums[2].astype(np.int64) + (v.texts > 0)), pa.array(sums[0] + end), pa.array(sums[1]),
+                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hashes[at[rare]].view(np.int64))), pa.array([classes[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
+                ],
+                names=["id", "held_out", "n_tokens", "known", "base", "within", "rare", "classes"],
+            )
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, within double, rare array<bigint>, classes binary")
 
-    def __missing__(self, word: bytes) -> int:
-        h = int(word_hashes([word])[0])
-        v = self.v
-        kind = v.own.get(h) or v.suffixes.get(suffix(word), OWN + 1)
-        code = kind + CLASSES * v.top.get(h, 0)
-        if len(word) <= 64:
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = code
-        return code
 
-    def coded(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all texts, each with two ends before it and one after, and which of them are tokens."""
-        n = sum(map(len, lists)) + 3 * len(lists)
-        flat, real, at = np.full(n, END, np.int64), np.ones(n, bool), 0
-        for words in lists:
-            real[at : at + 2] = False
-            flat[at + 2 : at + 2 + len(words)] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            at += len(words) + 3
-        return flat, real
+def in_line(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all texts, each with two ends before it and one after; which are tokens; where texts' tokens begin."""
+    texts = column.to_pylist()
+    flat = np.frombuffer(b"".join([x for t in texts for x in (b"\0\0", t, b"\0")]), np.uint8).astype(np.int64)
+    starts = np.cumsum([0, *(len(t) + 3 for t in texts[:-1])]) if texts else np.empty(0, np.int64)
+    real = np.ones(len(flat), bool)
+    real[starts] = real[starts + 1] = False
+    return flat, real, starts
 
 
 def start(share: np.ndarray) -> np.ndarray:
@@ -171,9 +172,10 @@ class Trainer:
         q1, q2 = q[c1], q[c2]
         context = q1 * pos[0] + q2 * pos[1]
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        good = sigmoid(np.einsum("ij,ij->i", context, r[w]) + b[w] - self.offset[w]) - 1
+        rw = r[w]
+        good = sigmoid(np.einsum("ij,ij->i", context, rw) + b[w] - self.offset[w]) - 1
         bad = sigmoid(context @ r[noise].T + b[noise] - self.offset[noise])
-        back = good[:, None] * r[w] + bad @ r[noise]
+        back = good[:, None] * rw + bad @ r[noise]
         dr += scattered(w, good[:, None] * context)
         np.add.at(dr, noise, bad.T @ context)
         db += np.bincount(w, good, CLASSES).astype(np.float32)
@@ -195,30 +197,28 @@ class Trainer:
 
 
 def trained(rows: DataFrame, v: Vocabulary) -> np.ndarray:
-    """Parameters after ROUNDS rounds of training on all rows (text)."""
+    """Parameters after ROUNDS rounds of training on all rows (classes)."""
     spark = rows.sparkSession
-    words = spark.sparkContext.broadcast(v)
-    p = start(v.share)
+    share, p = v.share, start(v.share)
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            coder, trainer, tokens, kept = Coder(words.value), Trainer(sent.value, words.value.share, 1000 * TaskContext.get().partitionId() + turn), 0, []
-            for part in pieces(batches, "text"):
-                flat, real = coder.coded(split_texts(part.column("text"), lower=True)[0])
-                classes = flat % CLASSES
-                tokens += trainer.learn(classes, real)
+            trainer, count, kept = Trainer(sent.value, share, 1000 * TaskContext.get().partitionId() + turn), 0, []
+            for part in pieces(batches, "classes", SLICE // 8):
+                flat, real, _ = in_line(part.column("classes"))
+                count += trainer.learn(flat, real)
                 if trainer.batches < BATCHES:
-                    kept.append((classes, real))
-            while tokens and trainer.batches < BATCHES:  # little data is gone through again
-                for classes, real in kept:
-                    trainer.learn(classes, real)
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([trainer.p.astype(np.float64)], pa.list_(pa.float64()))], names=["tokens", "p"])
-
-        tasks = rows.select("text").mapInArrow(run, "tokens bigint, p array<double>").select("tokens", F.posexplode("p").alias("k", "x"))
+                    kept.append((flat, real))
+            while count and trainer.batches < BATCHES:  # little data is gone through again
+                for flat, real in kept:
+                    trainer.learn(flat, real)
+            if count:
+                yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([trainer.p.astype(np.float64)], pa.list_(pa.float64()))], names=["tokens", "p"])
+
+        tasks = rows.select("classes").mapInArrow(run, "tokens bigint, p array<double>").select("tokens", F.posexplode("p").alias("k", "x"))
         mean = tasks.groupBy("k").agg((F.sum(F.col("x") * F.col("tokens")) / F.sum("tokens")).alias("x")).collect()  # one row a parameter
         for row in mean:
             p[row["k"]] = row["x"]
@@ -237,46 +237,23 @@ def log_table(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def scored(rows: DataFrame, v: Vocabulary, p: np.ndarray) -> DataFrame:
-    """rows (id, held_out, text): n_tokens, known, base and model (both without the counts of infrequent words), and those words."""
-    sent = rows.sparkSession.sparkContext.broadcast((v, p))
+def scored(texts: DataFrame, p: np.ndarray) -> DataFrame:
+    """coded texts with rid: their columns but for classes and rare, and model, the sum of the classes' log probabilities."""
+    sent = texts.sparkSession.sparkContext.broadcast(p)
+    kept = [c for c in texts.columns if c not in ("classes", "rare")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from fernwork.llm import lm
-
-        v, p = sent.value
-        key = p.tobytes()
-        if lm._shared.get("key") != key:
-            lm._shared.clear()
-            lm._shared.update(key=key, table=lm.log_table(p).reshape(-1), coder=Coder(v))
-        table, coder = lm._shared["table"], lm._shared["coder"]
-        log_count = np.log10(v.top_counts + 1.0)
-        scale = math.log10(v.tokens + v.distinct + 1)
-        end = math.log10(v.texts + 1)
-        for part in pieces(batches, "text"):
-            lists, offsets = split_texts(part.column("text"), lower=True)
-            flat, real = coder.coded(lists)
-            classes, place = flat % CLASSES, flat // CLASSES
+        table = log_table(sent.value).reshape(-1)
+        for part in pieces(batches, "classes", SLICE // 8):
+            flat, real, starts = in_line(part.column("classes"))
+            value = np.zeros(len(flat))
             at = np.flatnonzero(real)
-            found = log_count[place[at]]
-            is_end = classes[at] == END
-            base = np.where(is_end, end, found) - scale
-            model = table[(classes[at - 2] * CLASSES + classes[at - 1]) * CLASSES + classes[at]] + np.where(classes[at] > OWN, found - v.log_total[classes[at]], 0.0)
-            known = (place[at] > 0) | is_end & (v.texts > 0)
-            starts = offsets[:-1] + np.arange(len(lists))
-            rare = np.flatnonzero((place[at] == 0) & ~is_end)
-            words = [w for words in lists for w in words]
-            token_of = np.repeat(np.arange(len(lists)), np.diff(offsets) + 1)
-            own = token_of[rare]
-            hashes = word_hashes([words[i] for i in (rare - own).tolist()]).view(np.int64)
-            cut = np.searchsorted(own, np.arange(len(lists) + 1))
-            sums = [np.add.reduceat(x, starts) if len(lists) else x[:0] for x in (base, model.astype(np.float64), known.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), part.column("held_out"), pa.array(np.diff(offsets) + 1), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hashes))],
-                names=["id", "held_out", "n_tokens", "known", "base", "model", "rare"],
-            )
+            value[at] = table[(flat[at - 2] * CLASSES + flat[at - 1]) * CLASSES + flat[at]]
+            sums = np.add.reduceat(value, starts) if len(starts) else value
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(sums)], names=[*kept, "model"])
 
-    return rows.select("id", "held_out", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<bigint>")
+    fields = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept)
+    return texts.select(*kept, "classes").mapInArrow(run, f"{fields}, model double")
 
 
 def score(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,11 +264,14 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "doc_id"
     rows = docs.select(docs[id_col].alias("id"), out.alias("held_out"), docs[text_col].cast("string").alias("text"))
     train = rows.where(~F.col("held_out")).select("text")
     counts = stored(counted(train))
-    texts = train.count()
-    v = Vocabulary(counts, texts)
-    p = trained(train, v)
-    part = stored(scored(rows, v, p).withColumn("rid", F.monotonically_increasing_id()))
-    rare = part.select("rid", F.explode("rare").alias("h")).join(counts.select("h", "n"), "h").groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("logs"))
-    df = part.drop("rare").join(rare, "rid", "left")
+    v = Vocabulary(counts, train.count())
+    texts = stored(coded(rows, v).withColumn("rid", F.monotonically_increasing_id()))
+    p = trained(texts.where("NOT held_out"), v)
+    rare = texts.select("rid", F.explode("rare").alias("h")).join(counts.select("h", "n"), "h").groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("logs"))
+    df = scored(texts, p).join(rare, "rid", "left")
     logs = F.coalesce("logs", F.lit(0.0))
-    return df.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("model") + logs).alias("score"))
+    scale = math.log10(v.tokens + v.distinct + 1)
+    return df.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + logs - F.col("n_tokens") * F.lit(scale)).alias("base_score"), (F.col("model") + F.col("within") + logs).alias("score"),
+    )
