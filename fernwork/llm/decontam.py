@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fernwork.llm.common import ascii_lower, small_join, stored
+from fernwork.llm.common import BROADCAST_ROWS, ascii_lower, small_join, stored
 
 #: Characters between words, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -68,18 +68,24 @@ class Index:
         lists = small_join(self.postings, self.places, ["term"]).select("id", "th", "item", "place", (F.col("pos") - F.col("place")).alias("start"))
         if slop:  # two overlapping buckets of starts, so that any two within slop share one
             lists = lists.withColumn("start", F.explode(F.array(*[(F.floor((F.col("start") + shift) / (2 * slop)) * 2 * slop - shift).cast("int") for shift in (0, slop)])))
-        found = lists.groupBy("id", "th", "item", "start").agg(F.collect_set("place").alias("have"))
-        return small_join(found, self.needed, ["item"]).where(F.size(F.array_except("places", "have")) == 0).select("id", "th", "item", "start", "first")
+            found = lists.groupBy("id", "th", "item", "start").agg(F.collect_set("place").alias("have"))
+            return small_join(found, self.needed, ["item"]).where(F.size(F.array_except("places", "have")) == 0).select("id", "th", "item", "start", "first")
+        # a bit for each place modulo 64: all of a window's bits are there if its lists meet (and rarely else; exact() tells)
+        found = lists.groupBy("id", "th", "item", "start").agg(F.expr("bit_or(shiftleft(1L, place % 64))").alias("have"))
+        needed = self.needed.select("item", "first", F.expr("aggregate(places, 0L, (x, place) -> x | shiftleft(1L, place % 64))").alias("bits"))
+        return small_join(found, needed, ["item"]).where(F.col("have").bitwiseAND(F.col("bits")) == F.col("bits")).select("id", "th", "item", "start", "first")
 
     def exact(self) -> DataFrame:
         """(id, th, hits): the windows' exact matches in each row that has any."""
         met = stored(self.met())
         starts = small_join(met, self.windows, ["item", "first"], rows=self.n_windows).select("id", "th", F.struct((F.col("start") + F.col("first")).alias("at"), "item", "window").alias("c"))
         some = stored(starts.where("c.at >= 0").groupBy(F.col("id").alias("k"), F.col("th").alias("h")).agg(F.collect_set("c").alias("c")))
+        # only the rows with candidates are shuffled to meet them; their keys are few, or else shuffled as well
+        keys = some.select("k", "h")
+        same = lambda a, b: a["id"].eqNullSafe(b["k"]) & a["th"].eqNullSafe(b["h"])
         rows = self.rows.select("id", "th", "words")
-        same = rows["id"].eqNullSafe(some["k"]) & (rows["th"].eqNullSafe(some["h"]))
-        few = some.count() <= 20_000  # their arrays are larger than plain rows
-        both = rows.join(F.broadcast(some) if few else some, same).dropDuplicates(["id", "th"])
+        rows = rows.join(F.broadcast(keys) if some.count() <= BROADCAST_ROWS else keys, same(rows, keys), "left_semi")
+        both = rows.join(some, same(rows, some)).dropDuplicates(["id", "th"])
         hits = F.filter("c", lambda x: F.slice("words", x["at"] + 1, F.size(x["window"])) == x["window"])
         return both.select("id", "th", hits.alias("hits")).where(F.size("hits") > 0)
 
@@ -92,7 +98,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     hits = index.exact().select(F.col("id").alias("k"), F.col("th").alias("h"), covered.alias("covered"), names.alias("names"))
     rows = index.rows.select("id", "th", "n_words")
     hits = stored(hits)
-    out = rows.join(F.broadcast(hits) if hits.count() <= 20_000 else hits, rows["id"].eqNullSafe(hits["k"]) & rows["th"].eqNullSafe(hits["h"]), "left")
+    out = rows.join(hits, rows["id"].eqNullSafe(hits["k"]) & rows["th"].eqNullSafe(hits["h"]), "left")
     none = F.array().cast("array<string>")
     n_hit = F.coalesce("covered", F.lit(0)).cast("long")
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(F.coalesce("names", none), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
@@ -107,7 +113,7 @@ def proximity(docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 3, id_
 def clean(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that hold no window of an item, with all their columns."""
     hits = stored(Index(docs, items, n, id_col, text_col, options.get("item_col", "item_id"), options.get("item_text", "text")).exact().select(F.col("id").alias("__k"), F.col("th").alias("__h")))
-    few = hits.count() <= 200_000
+    few = hits.count() <= BROADCAST_ROWS
     same = docs[id_col].eqNullSafe(hits["__k"]) & F.xxhash64(docs[text_col].cast("string")).eqNullSafe(hits["__h"])
     return docs.join(F.broadcast(hits) if few else hits, same, "left_anti")
 
