@@ -48,6 +48,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that stored() has written; DataFrames that read them can't be used any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/fernwork")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """Joins with a table that is broadcast only when its counted rows are within BROADCAST_ROWS.
 

@@ -71,7 +71,7 @@ class Lines(HTMLParser):
             if tag == "hr":
                 self.flush()
             else:
-                self.text.append(" " if tag in ("br", "wbr") and tag == "br" else "")
+                self.text.append(" " if tag == "br" else "")
             return
         names = [x[0] for x in self.stack]
         if tag in BLOCK:
@@ -96,7 +96,7 @@ class Lines(HTMLParser):
         inside = any(k in ("article", "main") for k in self.kinds_open())
         if tag in BOILER or tag == "header" and not inside:
             off = True
-        elif any(k in ("hidden",) or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs):
+        elif any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs):
             off = True
         elif tag in BLOCK | {"span"} and tag not in ("body", "html", "article", "main") and marks & BOILER_WORDS and not (marks & CONTENT_WORDS and not marks & {"ad", "ads", "comment", "comments", "sidebar", "related"}):
             off = True
