@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernwork.llm.common import ship, small_join, stored
+from fernwork.llm.common import BROADCAST_ROWS, ship, small_join, stored
 from fernwork.llm.components import components, relabel
 from fernwork.llm.hashing import mixed, pieces, split_texts, windows, word_hashes
 
@@ -67,6 +67,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash of a set of shingles; zeros for the empty one."""
+    m = mixed(s)
+    return int(m.sum(dtype=np.uint64).view(np.int64)), int(mixed(m ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
+
+
 def signed(rows: DataFrame, k: int) -> DataFrame:
     """Rows (id, text): n_shingles, h1 and h2 (hash of the set), band hashes, signature of a byte a position."""
 
@@ -75,33 +81,31 @@ def signed(rows: DataFrame, k: int) -> DataFrame:
             lists, _ = split_texts(part.column("text"), lower=True)
             sets = [shingles(x, k) for x in lists]
             have = [i for i, s in enumerate(sets) if len(s)]
-            h = np.zeros((2, len(sets)), np.uint64)
+            h = np.array([set_hash(x) for x in sets], np.int64).reshape(-1, 2)
             bands, small = [None] * len(sets), [None] * len(sets)
             if have:
-                for i in have:
-                    m = mixed(sets[i])
-                    h[0, i], h[1, i] = m.sum(), mixed(m ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
                 sig = signatures([sets[i] for i in have])
                 key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(have), 1))
                 for r in range(ROWS):
                     key = mixed(key * np.uint64(0x100000001B3) + sig[:, r::ROWS])
                 for j, i in enumerate(have):
                     bands[i], small[i] = key[j].view(np.int64), (sig[j] & np.uint32(255)).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["id", "n_shingles", "h1", "h2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["id", "n_shingles", "h1", "h2", "bands", "sig"])
 
     return rows.mapInArrow(run, "id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sig binary")
 
 
 def full_sets(rows: DataFrame, k: int) -> DataFrame:
-    """Rows (id, text): (node, n, shingle hashes)."""
+    """Rows (id, text): (h1, h2, shingle hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             lists, _ = split_texts(part.column("text"), lower=True)
-            sets = [shingles(x, k).view(np.int64) for x in lists]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "shingles"])
+            sets = [shingles(x, k) for x in lists]
+            h = np.array([set_hash(x) for x in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["h1", "h2", "shingles"])
 
-    return rows.mapInArrow(run, "node bigint, n bigint, shingles array<bigint>")
+    return rows.select("text").mapInArrow(run, "h1 bigint, h2 bigint, shingles array<bigint>")
 
 
 def least_matches(percent: int) -> list[tuple[int, int]]:
@@ -160,20 +164,28 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     all_rows = stored(signed(rows, k))
     some = all_rows.where("n_shingles > 0")
-    classes = stored(some.groupBy("h1", "h2").agg(F.min("id").alias("node")))
-    slim = stored(some.join(classes.withColumnRenamed("node", "id"), ["h1", "h2", "id"], "left_semi").select(F.col("id").alias("node"), "n_shingles", "sig", "bands").dropDuplicates(["node"]))
+    classes = stored(some.groupBy("h1", "h2").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    # a class is signed by a row that has its smallest id, or none
+    first = some.join(classes, ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("least")))
+    slim = stored(first.select("node", "least", "h1", "h2", "n_shingles", "sig", "bands").dropDuplicates(["node"]))
     spread = slim.select("node", F.explode("bands").alias("key"))
     shared = stored(spread.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("key", "rep"))
     members = stored(spread.join(shared, "key").select("key", "node", "rep"))
     inside = stored(members.select("node").distinct())
-    sigs = stored(slim.select("node", "sig", F.col("n_shingles").alias("n")).join(inside, "node"))
-    mine = small_join(rows, inside.withColumnRenamed("node", "id"), ["id"])
-    sets = stored(full_sets(mine, k).join(sigs.select("node", "n"), ["node", "n"], "left_semi").dropDuplicates(["node"]))
+    sigs = stored(slim.select("node", "least", "h1", "h2", "sig", F.col("n_shingles").alias("n")).join(inside, "node"))
+    wanted = stored(sigs.select("least").distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    mine = rows.join(F.broadcast(wanted) if few else wanted, rows["id"].eqNullSafe(wanted["least"]), "left_semi")
+    sets = stored(full_sets(mine, k).join(sigs.select("node", "n", "h1", "h2"), ["h1", "h2"]).select("node", "n", "shingles").dropDuplicates(["node"]))
+    # rows that share an id
+    placed = some.select("id", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).where("id IS NOT NULL").select("id", "node")
+    ends = placed.groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("id", "x")
+    by_id = stored(placed.join(stored(ends), "id").where("node <> x").select("x", F.col("node").alias("y")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return stored(confirmed(stored(likely(stored(pairs.distinct()), sigs, percent)), sets, percent))
 
-    links = verified(members.where("rep <> node").select(F.col("rep").alias("x"), F.col("node").alias("y")))
+    links = stored(by_id.union(verified(members.where("rep <> node").select(F.col("rep").alias("x"), F.col("node").alias("y")))))
     roots = components(links)
     own = sigs.select("node", "n")
 
@@ -211,9 +223,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
             across = a.join(b, "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & bound & once)
             links = stored(links.union(verified(across.select(F.col("a_node").alias("x"), F.col("b_node").alias("y")))))
             roots = components(links)
-    named = relabel(classes, roots).select("h1", "h2", "root")
+    named = relabel(classes, roots)
+    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = named.join(stored(least), "root").select("h1", "h2", "component")
     out = all_rows.select("id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     kind = docs.schema[id_col].dataType
     return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", component.cast(kind).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 

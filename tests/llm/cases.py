@@ -33,7 +33,7 @@ def made(seed: int, n: int = 60) -> list[tuple]:
             w += ["###", "$$", "|"] * 20
         text = "".join(x + rng.choice([" ", " ", " ", "  ", "\n", "\t", "\x0b"]) for x in w)
         rows.append((i, text, rng.choice(["en", "fr", None]), rng.choice(["a", "a", "b", None]), len(text), 7, True))
-    return [*rows, (n, None, "en", "a", None, 7, None), (n + 1, "", "en", "a", 0, 7, None), (n + 2, " \n\t ", "en", "b", 4, 7, None), (None, rows[3][1], "en", "a", 1, 7, None), rows[3], (n + 3, "x" * 5000 + " " + "word " * 4000, "en", "a", 1, 7, True), (n + 4, rows[3][1], "fr", "b", 1, 7, True)]
+    return [*rows, (n, None, "en", "a", None, 7, None), (n + 1, "", "en", "a", 0, 7, None), (n + 2, " \n\t ", "en", "b", 4, 7, None), (None, rows[3][1], "en", "a", 1, 7, None), rows[3], (n + 3, "x" * 5000 + " " + "word " * 4000, "en", "a", 1, 7, True), (n + 4, rows[3][1], "fr", "b", 1, 7, True), (2, rows[7][1], "fr", "b", 1, 7, True), (None, "of its own and of no other", "fr", "b", 1, 7, True)]
 
 
 def words(t):
