@@ -208,7 +208,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     kept = small_join(rows.where(F.col("id").isNotNull()), known.select("id").distinct(), ["id"])
     held = stored(kept.mapInArrow(keyed, "id bigint, text string, h1 bigint, h2 bigint").join(known, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"]).withColumn("block", block_of))
     buckets = max(blocks, -(-total // BUCKET_HASHES))
-    by_block = lambda: held.repartition(blocks, "block").groupBy("block")
+    by_block = lambda: held.groupBy("block")
 
     def halves(table: pa.Table) -> pa.Table:
         return sent_rows(table.column("block")[0].as_py(), *Block(table, length).half_keys(), buckets)
