@@ -39,7 +39,7 @@ def test_filters(users):
     assert s.execute("FROM Users WHERE age > 20 SELECT name").count() == 10
     assert s.execute("FROM Users WHERE city = 'NYC' SELECT name").count() == 5
     assert rows(s.execute("FROM Users SELECT name, age ORDER BY age DESC LIMIT 2 OFFSET 1")) == [("User8", 28), ("User9", 29)]
-    assert s.execute("FROM Users LIMIT 0 SELECT name" if False else "FROM Users SELECT name LIMIT 0").count() == 0
+    assert s.execute("FROM Users SELECT name LIMIT 0").count() == 0
 
 
 def test_hops(follows):
@@ -96,7 +96,7 @@ def test_nulls(spark):
     assert rows(s.execute("FROM Items SELECT COUNT(name) AS a, COUNT(DISTINCT name) AS b")) == [(3, 1)]
     assert rows(s.sql("SELECT COUNT(name) AS a FROM Items")) == [(1,)]
     assert [r[0] for r in s.execute("FROM Items SELECT count ORDER BY count DESC").collect()] == [42, None, None]
-    assert rows(s.execute("FROM Items WHERE count = 42 SELECT count / 0 AS a, count + 1 AS b, count - name AS c" if False else "FROM Items WHERE count = 42 SELECT count / 0 AS a, count + 1 AS b")) == [(None, 43)]
+    assert rows(s.execute("FROM Items WHERE count = 42 SELECT count / 0 AS a, count + 1 AS b")) == [(None, 43)]
 
 
 def two_valued(e, row):
@@ -169,7 +169,7 @@ def test_changes(spark):
     s.sql("INSERT INTO t (id, name) VALUES (1, 'a'), (2, 'b')")
     assert rows(s.sql("SELECT name FROM t WHERE id = 2")) == [("b",)]
     s.execute("INSERT INTO New VALUES ({x: 1.5})")
-    assert rows(s.execute("FROM New SELECT *")) == [(1.5, 1)] or rows(s.execute("FROM New SELECT x")) == [(1.5,)]
+    assert rows(s.execute("FROM New SELECT x")) == [(1.5,)]
     for k in range(20):
         s.execute(f"UPDATE New SET x = x + {k}")
     assert s.execute("FROM New SELECT x").first()[0] == 1.5 + sum(range(20))
