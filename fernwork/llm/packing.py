@@ -31,6 +31,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,22 +44,23 @@ GROUPS, LARGE = 24, 8
 #: Pieces of one length that are ranked in one task, at about which another part of that length is opened.
 RANKED = 50_000
 #: Entries a worker's cache of encoded words may hold before it starts afresh.
-CACHE = 300_000
+CACHE = 100_000
+#: Bytes of text encoded at a time.
+SLICE = 8_000_000
 _shared: dict = {}
 
 
 class Encoder:
-    """Token ids, as little-endian 32-bit bytes, of the chunks between white space; each is encoded once.
+    """Token ids of texts by way of their chunks between ASCII white space; each different chunk is encoded once.
 
     Holds for tokenizers whose normalizer and pre-tokenizer never join what white space separates and drop the
     white space itself. Chunks of ASCII and plain Latin letters, whose lower case is a letter for a letter, are
-    cut further, into the words of the pre-tokenizer's pattern, and words that are new go to it together."""
+    cut further, into the words of the pre-tokenizer's pattern, and words that are new go to it together. What a
+    chunk consists of is kept in a cache of two generations, so what is in use survives when it is full."""
 
     PLAIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ſ]+")
+    SIMPLE = r"^[\t-\r -&(-~À-ÖØ-öø-įı-ſ]*$"
     WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
-    #: Characters at which str.split() cuts although they are no white space to the tokenizer.
-    CONTROLS = "\x1c\x1d\x1e\x1f"
-    CHUNKS = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -77,33 +79,54 @@ class Encoder:
             ids, cut = np.array(got.ids, "<u4").tobytes(), np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1)).tolist()
             self.words.update((w, ids[4 * cut[i] : 4 * cut[i + 1]]) for i, w in enumerate(some))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lists = [self.CHUNKS.findall(t) if any(c in t for c in self.CONTROLS) else t.split() for t in texts]
-        if len(self.chunks) >= CACHE:  # what is in use comes over from the old ones
+    def known(self, different: list[str]) -> list[bytes]:
+        """The ids of different chunks, as little-endian 32-bit bytes."""
+        if len(self.chunks) >= CACHE:
             self.chunks, self.old_chunks = {}, self.chunks
         if len(self.words) >= CACHE:
             self.words, self.old_words = {}, self.words
-        chunks, words, cut, slow = self.chunks, self.words, {}, []
-        plain, pattern = self.PLAIN.fullmatch, self.WORDS.findall
-        for chunk in set().union(*lists).difference(chunks):
-            if (had := self.old_chunks.get(chunk)) is not None:
-                chunks[chunk] = had
-            elif plain(chunk) and "<|" not in chunk:
-                cut[chunk] = pattern(chunk.lower())
-            else:
-                slow.append(chunk)
+        chunks, words, cut = self.chunks, self.words, {}
+        plain, pattern, old = self.PLAIN.fullmatch, self.WORDS.findall, self.old_chunks.get
+        for chunk in different:
+            if chunk not in chunks:
+                if (had := old(chunk)) is not None:
+                    chunks[chunk] = had
+                elif plain(chunk) and "<|" not in chunk:
+                    cut[chunk] = pattern(chunk.lower())
+                else:
+                    chunks[chunk] = self.ids(chunk)
         new = set().union(*cut.values()).difference(words)
         words.update((w, self.old_words[w]) for w in new & self.old_words.keys())
         self.learn([w for w in new if w not in words])
-        chunks.update((chunk, b"".join([words[w] for w in parts])) for chunk, parts in cut.items())
-        chunks.update((chunk, self.ids(chunk)) for chunk in slow)
-        return [b"".join([chunks[w] for w in x]) for x in lists]
+        for chunk, parts in cut.items():
+            chunks[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
+        return [chunks[x] for x in different]
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts side by side, `end` after each text, and the texts' offsets."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        # in texts of plain characters alone, words and runs of punctuation are parted beforehand
+        simple = pc.and_(pc.match_substring_regex(texts, self.SIMPLE), pc.invert(pc.match_substring(texts, "<|")))
+        parted = pc.replace_substring_regex(pc.utf8_lower(texts), r"([!-/:-@\[-`{-~]+)", r" \1 ")
+        lists = pc.ascii_split_whitespace(pc.if_else(simple, parted, texts))
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = flat.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        parts = [*self.known(different), np.array([end], "<u4").tobytes()]
+        ids, size = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begin = np.cumsum(size) - size
+        tokens = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets[1:], len(different))
+        many = size[tokens]
+        ends = np.cumsum(many)
+        out = ids[np.repeat(begin[tokens] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.concatenate([[0], ends])[np.concatenate([[0], offsets[1:] + np.arange(1, len(offsets))])]
+        return out, cut
 
 
 def tokenised(docs: DataFrame, spec: str, size: int, end: int) -> DataFrame:
     """Rows (id, text): a row per piece with piece, start, length, ids_crc32."""
     key, sent = hash(spec), docs.sparkSession.sparkContext.broadcast(spec)
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from fernwork.llm import packing
@@ -111,15 +134,15 @@ def tokenised(docs: DataFrame, spec: str, size: int, end: int) -> DataFrame:
         encoder = packing._shared.get(key)
         if encoder is None:
             encoder = packing._shared[key] = packing.Encoder(sent.value)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
+            ids, cut = encoder.encode(part.column("text"), end)
             owner, rows = [], []
-            for k, ids in enumerate(encoder.encode([x or "" for x in part.column("text").to_pylist()])):
-                ids += last
-                n = len(ids) // 4
+            for k in range(part.num_rows):
+                a, n = int(cut[k]), int(cut[k + 1] - cut[k])
                 for start in range(0, n, size):
-                    piece = ids[4 * start : 4 * (start + size)]
+                    long = min(size, n - start)
                     owner.append(k)
-                    rows.append((start // size, start, len(piece) // 4, zlib.crc32(piece)))
+                    rows.append((start // size, start, long, zlib.crc32(ids[a + start : a + start + long])))
             yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner, pa.int64())), *(pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names=["id", "piece", "start", "length", "ids_crc32"])
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
