@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fernwork.functions.scalars import SCALARS
 from fernwork.plans import nodes as n
@@ -32,10 +33,20 @@ class QueryError(ValueError):
 
 
 class Expressions:
-    """resolve finds a property's column; known maps whole subexpressions to columns (aggregates, group keys)."""
+    """resolve finds a property's column; known maps whole subexpressions to columns (aggregates, group keys); kind
+    tells a column's type, so that arithmetic on strings and booleans gives null (in SQL: on what is no number)."""
 
-    def __init__(self, resolve: Resolve, two_valued: bool, known: dict[Any, Column] | None = None, entity: Callable[[str], Column] | None = None):
-        self.resolve, self.two_valued, self.known, self.entity = resolve, two_valued, known or {}, entity
+    def __init__(self, resolve: Resolve, two_valued: bool, known: dict[Any, Column] | None = None, entity: Callable[[str], Column] | None = None, kind: Callable[[Column], T.DataType] | None = None):
+        self.resolve, self.two_valued, self.known, self.entity, self.kind = resolve, two_valued, known or {}, entity, kind
+
+    def number(self, e: Any) -> Column:
+        x = self.value(e)
+        if self.kind is None or isinstance(e, n.Lit) and not isinstance(e.value, (str, bool)):
+            return x
+        t = self.kind(x)
+        if isinstance(t, T.BooleanType) or isinstance(t, T.StringType) and self.two_valued:
+            return F.lit(None).cast("double")
+        return x.try_cast("double") if isinstance(t, T.StringType) else x
 
     def value(self, e: Any) -> Column:
         if (hit := self.known.get(e)) is not None:
@@ -47,7 +58,7 @@ class Expressions:
         if isinstance(e, n.Neg):
             return F.negative(self.value(e.arg))
         if isinstance(e, n.Op) and e.op in _ARITHMETIC:
-            return _ARITHMETIC[e.op](self.value(e.left), self.value(e.right))
+            return _ARITHMETIC[e.op](self.number(e.left), self.number(e.right))
         if isinstance(e, n.Agg):
             return self.aggregate(e)
         if isinstance(e, n.Case):

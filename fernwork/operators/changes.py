@@ -71,7 +71,7 @@ def _expressions(c: Collection, two_valued: bool) -> Expressions:
             raise QueryError(f"{c.name} has no property {p.name}")
         return F.col(f"`{p.name}`")
 
-    return Expressions(resolve, two_valued)
+    return Expressions(resolve, two_valued, kind=lambda x: c.df.select(x).schema[0].dataType)
 
 
 def condition(c: Collection, where: Any, two_valued: bool) -> Column:

@@ -65,7 +65,7 @@ class Rows:
         return F.struct(*[F.col(f"`{column(binding, c)}`").alias(c) for c in self.bindings[binding]])
 
     def expressions(self, known: dict | None = None) -> Expressions:
-        return Expressions(self.resolve, self.q.two_valued, known, self.entity)
+        return Expressions(self.resolve, self.q.two_valued, known, self.entity, lambda c: self.df.select(c).schema[0].dataType)
 
     def settle(self, last: bool = False) -> None:
         """Applies the conditions all of whose properties are there."""

@@ -99,6 +99,14 @@ def test_nulls(spark):
     assert rows(s.execute("FROM Items WHERE count = 42 SELECT count / 0 AS a, count + 1 AS b")) == [(None, 43)]
 
 
+def test_arithmetic_on_strings(users):
+    s = users.session()
+    assert rows(s.execute("FROM Users WHERE id = 1 SELECT name + 1 AS a, age * 2 AS b, 'x' - age AS c")) == [(None, 42, None)]
+    assert rows(s.sql("SELECT name + 1 AS a, '2' * age AS b FROM Users WHERE id = 1")) == [(None, 42.0)]
+    s.execute("UPDATE Users SET age = city + 1 WHERE id = 2")
+    assert rows(s.execute("FROM Users WHERE id = 2 SELECT age")) == [(None,)]
+
+
 def two_valued(e, row):
     """Reference evaluator of the two-valued mode."""
     if isinstance(e, n.Not):
