@@ -30,6 +30,7 @@ class EdgeType:
     source_collection: str
     target_collection: str
     version: int = 0
+    foreign: tuple[str, str] | None = None  # ("source" or "target", column): that collection's rows hold the other's key
 
     def ends(self) -> DataFrame:
         """All columns, with _src and _dst first."""
@@ -55,8 +56,16 @@ class Catalog:
     def add(self, name: str, df: DataFrame, key: str | None = None) -> None:
         self.collections[name] = Collection(name, df, key)
 
-    def add_edge(self, name: str, df: DataFrame, source: str, target: str, source_collection: str, target_collection: str) -> None:
-        self.edges[name] = EdgeType(name, df, source, target, source_collection, target_collection)
+    def add_edge(self, name: str, df: DataFrame, source: str, target: str, source_collection: str, target_collection: str, foreign: tuple[str, str] | None = None) -> None:
+        """foreign tells that an edge is no more than a foreign key, so that a hop needs one join and not two."""
+        self.edges[name] = EdgeType(name, df, source, target, source_collection, target_collection, foreign=foreign)
+
+    def foreign_key(self, e: EdgeType) -> tuple[str, str] | None:
+        """(side, column), as long as neither the edges nor the rows that hold the key have been changed."""
+        if e.foreign is None or e.version:
+            return None
+        c = self.collections.get(e.source_collection if e.foreign[0] == "source" else e.target_collection)
+        return e.foreign if c is not None and c.version == 0 else None
 
     def put(self, c: Collection, df: DataFrame) -> Collection:
         """A collection's next version."""

@@ -104,6 +104,8 @@ class Rows:
             walked = [w for w in walked if h.path or (w[0].source_collection if w[1] else w[0].target_collection) == target]
         if not walked:
             raise QueryError(f"no edge {'|'.join(h.types)} goes {h.direction} from {name}")
+        if len(walked) == 1 and not (h.path or h.edge or h.strength is not None) and self.by_key(h, *walked[0]):
+            return None
         before, parts, found = dict(self.bindings), [], set()
         for reached, edges in self.edge_tables(walked, h).items():
             if h.path and target and reached != target:
@@ -122,6 +124,21 @@ class Rows:
         else:
             self.kinds[h.target] = ""  # of several collections: no further hop
 
+    def by_key(self, h: n.Hop, e: EdgeType, against: bool) -> bool:
+        """A hop along a foreign key: the target is joined on the key itself."""
+        held = self.catalog.foreign_key(e)
+        if held is None:
+            return False
+        here, there = (e.target_collection, e.source_collection) if against else (e.source_collection, e.target_collection)
+        mine = (held[0] == "target") == against  # whether the rows that we come from hold the key
+        left, right = self.catalog.collection(here), self.catalog.collection(there)
+        a, b = (held[1], right.key) if mine else (left.key, held[1])
+        if a not in self.bindings[h.source] or b not in right.df.columns:
+            return False
+        self.df = self.df.join(self.bound(right.df, h.target), F.col(f"`{column(h.source, a)}`") == F.col(f"`{column(h.target, b)}`"))
+        self.kinds[h.target] = right.name
+        return True
+
     def edge_tables(self, walked: list[tuple[EdgeType, bool]], h: n.Hop) -> dict[str, DataFrame]:
         """By collection that is reached: (_src, _dst, properties) in walking direction."""
         out: dict[str, DataFrame] = {}

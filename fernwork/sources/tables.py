@@ -58,14 +58,14 @@ def described(spark: SparkSession, folder: str) -> Catalog:
     c.add("Lineitem", t["lineitem"])
     c.add("Event", t["events"], "event_id")
     line = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
-    c.add_edge("PLACED", t["orders"].select("o_custkey", F.col("o_orderkey").alias("key")), "o_custkey", "key", "Customer", "Orders")
+    c.add_edge("PLACED", t["orders"].select("o_custkey", F.col("o_orderkey").alias("key")), "o_custkey", "key", "Customer", "Orders", ("target", "o_custkey"))
     c.add_edge("CONTAINS", line, "l_orderkey", "l_partkey", "Orders", "Part")
     c.add_edge("SHIPPED_BY", line.select("l_orderkey", "l_suppkey", "l_quantity"), "l_orderkey", "l_suppkey", "Orders", "Supplier")
     c.add_edge("SUPPLIED_BY", line.select("l_partkey", "l_suppkey").distinct(), "l_partkey", "l_suppkey", "Part", "Supplier")
-    c.add_edge("LIVES_IN", t["customer"].select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", "Customer", "Nation")
-    c.add_edge("SITS_IN", t["supplier"].select("s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey", "Supplier", "Nation")
-    c.add_edge("PART_OF", t["nation"].select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey", "Nation", "Region")
-    c.add_edge("TRIGGERED", t["events"].select("user_id", F.col("event_id").alias("key"), "event_type"), "user_id", "key", "Customer", "Event")
+    c.add_edge("LIVES_IN", t["customer"].select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", "Customer", "Nation", ("source", "c_nationkey"))
+    c.add_edge("SITS_IN", t["supplier"].select("s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey", "Supplier", "Nation", ("source", "s_nationkey"))
+    c.add_edge("PART_OF", t["nation"].select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey", "Nation", "Region", ("source", "n_regionkey"))
+    c.add_edge("TRIGGERED", t["events"].select("user_id", F.col("event_id").alias("key"), "event_type"), "user_id", "key", "Customer", "Event", ("target", "user_id"))
     c.add_edge("NEXT", next_orders(t["orders"]), "o_orderkey", "next_key", "Orders", "Orders")
     c.add_edge("TRADES", trade(t["customer"], t["orders"], t["lineitem"], t["supplier"]), "c_nationkey", "s_nationkey", "Nation", "Nation")
     return c

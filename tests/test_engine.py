@@ -242,3 +242,17 @@ def test_stats(follows):
     c = stats.collection_stats(follows.catalog, "Users", follows.catalog.edges["FOLLOWS"]).first()
     assert (c["rows"], c["avg_properties"], c["avg_degree"]) == (4, 3.0, 1.0)
     assert stats.all_entities(follows.catalog).where("_id = 1").first()["properties"]["name"] == "Alice"
+
+
+def test_foreign_keys(spark):
+    """Hops along a key give what hops over the edge table give, and changed rows are walked by the edge table."""
+    def made(foreign):
+        db = db_of(spark, [("A", "id bigint, x bigint", [(1, 10), (2, 20), (3, 30)], "id"), ("B", "k bigint, a bigint", [(7, 1), (8, 1), (9, 2), (10, None), (11, 99)], "k")])
+        db.catalog.add_edge("HAS", spark.createDataFrame([(1, 7), (1, 8), (2, 9), (99, 11)], "s bigint, d bigint"), "s", "d", "A", "B", foreign)
+        return db.session()
+
+    for q in ("FROM A a TRAVERSE -[:HAS]-> b SELECT a.x, b.k", "FROM B b TRAVERSE <-[:HAS]- a WHERE a.x > 10 SELECT a.x, b.k", "FROM A a TRAVERSE -[:HAS]-> b TRAVERSE <-[:HAS]- c SELECT a.id, b.k, c.x"):
+        assert rows(made(("target", "a")).execute(q)) == rows(made(None).execute(q))
+    s = made(("target", "a"))
+    s.execute("UPDATE B SET a = 3 WHERE k = 7")
+    assert rows(s.execute("FROM A a TRAVERSE -[:HAS]-> b SELECT a.id, b.k")) == [(1, 7), (1, 8), (2, 9)]
