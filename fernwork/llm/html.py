@@ -37,8 +37,11 @@ SELF_END = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 #: Words in class, id or role that mark an element as boilerplate; and those that mark content.
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
-    "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar header toolbar pager pagination share sharing social related recommended recommendations widget comment comments comms disqus respond replies reply skip search complementary contentinfo".split()
+    "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar header toolbar pager pagination share sharing social related recommended recommendations widget comment comments comms disqus respond replies reply skip search complementary contentinfo disclaimer".split()
 )
+#: Of these some hold even beside words for content ("article-comments"), as do words that start like these.
+STRONG_WORDS = frozenset("ad ads sidebar related reply replies respond sponsored".split())
+STARTS = ("comment", "sidebar", "advert", "cookie")
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 
 
@@ -98,8 +101,9 @@ class Lines(HTMLParser):
             off = True
         elif any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs):
             off = True
-        elif tag in BLOCK | {"span"} and tag not in ("body", "html", "article", "main") and marks & BOILER_WORDS and not (marks & CONTENT_WORDS and not marks & {"ad", "ads", "comment", "comments", "sidebar", "related"}):
-            off = True
+        elif tag in BLOCK | {"span"} and tag not in ("body", "html", "main"):
+            strong = marks & STRONG_WORDS or any(w.startswith(STARTS) for w in marks)
+            off = bool(strong or tag != "article" and marks & BOILER_WORDS and not marks & CONTENT_WORDS)
         if tag in ("article", "main") or "main" in marks and tag in BLOCK:
             kind = "article" if tag == "article" else "main"
         self.stack.append((tag, self.number, off))

@@ -178,6 +178,8 @@ def test_html(spark):
     assert html.main_text(PAGE) == want
     assert html.main_text(plain).split("\n\n")[1] == "Short." and "a" not in html.main_text(plain).split("\n\n")
     assert html.main_text(None) == html.main_text("") == html.main_text("<p></p>") == html.main_text("<script>x</script>") == ""
+    nested = "<main><article class='post'><p>Text of it.</p><div class='article-header'><h2>Part</h2></div><ol class='commentlist'><li><article class='comment'><p>No!</p></article></ol><div class='article-comments'>x</div></article></main>"
+    assert html.main_text(nested) == "Text of it.\n\nPart"
     assert html.main_text("<article><p>cut off <b>her") == "cut off her" and html.main_text("just text") == "just text"
     df = spark.createDataFrame([(1, "u", PAGE, "z"), (None, None, None, "z"), (1, "u", PAGE, "z")], "page_id bigint, url string, html string, text string")
     got = html.extract(df).collect()
