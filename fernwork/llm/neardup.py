@@ -165,8 +165,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     all_rows = stored(signed(rows, k))
     some = all_rows.where("n_shingles > 0")
     classes = stored(some.groupBy("h1", "h2").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    # a class is signed by a row that has its smallest id, or none
-    first = some.join(classes, ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("least")))
+    # a class is signed by a row that has its smallest id, or none; the id is part of the join's key, so copies spread
+    keyed = classes.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "least", "node")
+    first = some.join(keyed, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("id").eqNullSafe(F.col("least")))
     slim = stored(first.select("node", "least", "h1", "h2", "n_shingles", "sig", "bands").dropDuplicates(["node"]))
     spread = slim.select("node", F.explode("bands").alias("key"))
     shared = stored(spread.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("key", "rep"))
