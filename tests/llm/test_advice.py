@@ -2,7 +2,7 @@
 
 import pytest
 
-from fernwork.llm import licenses
+from fernwork.llm import licenses, lm
 
 GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
 # it under the terms of the GNU General Public License as published by
@@ -39,3 +39,7 @@ def test_unmatched_notice_inherits_nothing(spark):
     files = [("LICENSE", "Released under the MIT License."), ("a/x", "Licensed under CC BY-NC 4.0."), ("a/y", "Licensed under the Odd House Licence, version 9."), ("a/z", "plain"), ("a/w", "a licence is a nice thing")]
     got = {r["path"]: (r["licence"], r["found"], r["from_path"]) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
     assert got == {"LICENSE": ("MIT", "own", None), "a/x": ("CC-BY-NC-4.0", "own", None), "a/y": (None, "unknown", None), "a/z": ("MIT", "inherited", "LICENSE"), "a/w": ("MIT", "inherited", "LICENSE")}
+
+
+def test_noise_samples():
+    assert lm.NOISE == 128
