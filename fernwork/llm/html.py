@@ -30,6 +30,8 @@ from fernwork.llm.common import ship
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
 HIDDEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select option textarea button datalist map".split())
+#: What may stand in head; anything else closes it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template head html".split())
 BOILER = frozenset("nav aside footer form dialog menu search".split())
 #: Elements that end an open paragraph or item of their own kind.
 ENDS_P = BLOCK - {"html", "body"}
@@ -68,8 +70,18 @@ class Lines(HTMLParser):
             self.off -= off
             self.links -= name == "a"
 
+    def leave_head(self, tag: str = "") -> None:
+        """Closes an open head whose end tag was left out."""
+        for k, (name, _, _) in enumerate(self.stack):
+            if name == "head":
+                if tag == "body" or k == len(self.stack) - 1:
+                    self.pop(k)
+                return
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag not in IN_HEAD:
+            self.leave_head(tag)
         if tag in VOID:
             if tag == "hr":
                 self.flush()
@@ -132,6 +144,8 @@ class Lines(HTMLParser):
                 return  # an inline end tag doesn't reach beyond its block
 
     def handle_data(self, data):
+        if self.off and data.strip():
+            self.leave_head()
         if not self.off:
             self.text.append(data)
             if self.links:

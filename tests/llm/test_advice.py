@@ -2,7 +2,7 @@
 
 import pytest
 
-from fernwork.llm import licenses, lm
+from fernwork.llm import html, licenses, lm
 
 GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
 # it under the terms of the GNU General Public License as published by
@@ -43,3 +43,10 @@ def test_unmatched_notice_inherits_nothing(spark):
 
 def test_noise_samples():
     assert lm.NOISE == 128
+
+
+def test_head_left_open():
+    text = "<article><p>The text of the page.</p></article>"
+    for start in ("<html><head><title>T</title><body>", "<head><meta charset=x><title>T</title><style>p{}</style>", "<html><head><title>T</title></head><body>", "<head><noscript><link rel=x><body>"):
+        assert html.main_text(start + text) == "The text of the page."
+    assert html.main_text("<head><title>T</title>bare text") == "bare text" and html.main_text("<head><script>x</script></head>") == ""
