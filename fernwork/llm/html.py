@@ -3,10 +3,12 @@
 The standard library's parser feeds events one by one; block elements cut the page into lines. Each line
 has its text-to-tag ratio: characters of text (links' text not counted) over tags inside the line plus one.
 The ratios are smoothed with a Gaussian kernel and split in two clusters by Otsu's threshold; the lines of
-the upper cluster vote, by their length, for the innermost content container that they stand in (article,
-main, or else the lowest element that holds most of the votes). The selected region is that container: all
-its lines but those in structural boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments) are the text, so a short paragraph beside long ones isn't lost.
+the upper cluster vote, by their length, for the innermost content container that they stand in (article, main, or
+else the lowest div, section or body that holds most of the votes; paragraphs, lists and cells don't count). Where
+containers around it add text that isn't mostly links, the region grows to them; several articles all belong to it.
+All lines of the region but those in structural boilerplate (menus, headers, footers, sidebars, notices, adverts,
+forms, reader comments), and but those mostly of links that only the growing added, are the text; so neither a
+short paragraph beside long ones nor a short section beside a long one is lost.
 
 Defined results: null or empty html, or html without text, gives an empty text; broken markup (unclosed or
 stray tags, a page that breaks off) is read as far as it goes; rows are kept one to one, repeated rows
@@ -30,6 +32,7 @@ from fernwork.llm.common import ship
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
 HIDDEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select option textarea button datalist map".split())
+CONTAINER = frozenset("div section article main body".split())
 #: What may stand in head; anything else closes it.
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template head html".split())
 BOILER = frozenset("nav aside footer form dialog menu search".split())
@@ -55,13 +58,14 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.stack: list[tuple[str, int, bool]] = []  # name, number, starts boilerplate or hidden
         self.kinds: dict[int, str] = {}
+        self.containers = {0}  # 0 stands for the page
         self.off = self.links = self.number = 0
         self.text: list[str] = []
         self.tags = self.linked = 0
 
     def flush(self) -> None:
         if self.text and (s := " ".join("".join(self.text).split())):
-            self.lines.append((s, self.tags, min(self.linked, len(s)), tuple(n for name, n, _ in self.stack if name in BLOCK)))
+            self.lines.append((s, self.tags, min(self.linked, len(s)), (0, *(n for name, n, _ in self.stack if n in self.containers))))
         self.text, self.tags, self.linked = [], 0, 0
 
     def pop(self, to: int) -> None:
@@ -121,6 +125,8 @@ class Lines(HTMLParser):
         self.stack.append((tag, self.number, off))
         if kind:
             self.kinds[self.number] = kind
+        if kind or tag in CONTAINER:
+            self.containers.add(self.number)
         self.off += off
         self.links += tag == "a"
 
@@ -191,15 +197,21 @@ def main_text(html: str | None) -> str:
                 votes[n] = votes.get(n, 0) + len(text)
     named = [n for n in votes if n in page.kinds]
     total = max(votes.values(), default=0)
-    if named and max(votes[n] for n in named) * 2 >= total:
+    if by_name := bool(named and max(votes[n] for n in named) * 2 >= total):
         best = max(votes[n] for n in named)
         most = max(n for n in named if votes[n] * 10 >= best * 9)  # the innermost that keeps nearly all votes
-        siblings = {n for n in named if page.kinds[n] == page.kinds[most]}
-        region = {most} if page.kinds[most] == "main" or len(siblings) == 1 else {n for n in siblings if votes[n] * 10 >= votes[most]}
     else:
-        full = [n for n in votes if votes[n] * 10 >= total * 9]
-        region = {max(full)} if full else set()
-    return "\n\n".join(t for t, _, _, path in page.lines if not region or region & set(path))
+        most = max((n for n in votes if votes[n] * 10 >= total * 9), default=0)
+    core = {most}
+    if page.kinds.get(most) == "article":
+        core |= {n for _, _, _, path in page.lines for n in path if page.kinds.get(n) == "article"}
+    region = set(core)
+    above = next((path[: path.index(most)] for _, _, _, path in page.lines if most in path), ())
+    wordy = [linked * 2 <= len(t) for t, _, linked, _ in page.lines]
+    for n in reversed(above):
+        if (not by_name or n in page.kinds) and any(w and n in path and not region & set(path) for w, (_, _, _, path) in zip(wordy, page.lines, strict=True)):
+            region.add(n)
+    return "\n\n".join(t for w, (t, _, _, path) in zip(wordy, page.lines, strict=True) if core & set(path) or w and region & set(path))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

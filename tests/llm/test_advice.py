@@ -50,3 +50,20 @@ def test_head_left_open():
     for start in ("<html><head><title>T</title><body>", "<head><meta charset=x><title>T</title><style>p{}</style>", "<html><head><title>T</title></head><body>", "<head><noscript><link rel=x><body>"):
         assert html.main_text(start + text) == "The text of the page."
     assert html.main_text("<head><title>T</title>bare text") == "bare text" and html.main_text("<head><script>x</script></head>") == ""
+
+
+def test_one_long_paragraph():
+    long, a, b = "word " * 1000, "short one " * 10, "short two " * 10
+    parts = ["Title", a.strip(), long.strip(), b.strip()]
+    body = f"<h1>Title</h1><p>{a}</p><p>{long}</p><p>{b}</p>"
+    for tag in ("<div class='post'>", "<div id='content'>", "<div>", "<section>"):
+        assert html.main_text(f"<html><body>{tag}{body}</body></html>").split("\n\n") == parts
+
+
+def test_unequal_sections():
+    long = ("word " * 1000).strip()
+    links = "<div class='top'><a href=1>Home</a> <a href=2>News</a></div>"
+    assert html.main_text(f"<body>{links}<h1>Title</h1><div><p>{long}</p></div><section><p>Short section.</p></section></body>").split("\n\n") == ["Title", long, "Short section."]
+    assert html.main_text(f"<body><div><p>{long}</p></div>{links}</body>") == long
+    assert html.main_text(f"<article><p>{long}</p></article><article><p>Short article.</p></article>").split("\n\n") == [long, "Short article."]
+    assert html.main_text(f"<main><h1>Title</h1><article><p>{long}</p></article></main>").split("\n\n") == ["Title", long]
