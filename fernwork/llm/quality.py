@@ -37,8 +37,6 @@ RULES = {
     "word_length": (24.0, 20.0, 16.0, 14.0, 12.0),
     "marks_per_word": (2.0, 1.5, 1.0, 0.8, 0.6, 0.4),
 }
-#: Labelled documents read to choose cutoffs: about so many, drawn by a hash of their id.
-LABELLED = 60_000
 STRATA = ("en", "fr", "de", "es")
 
 
@@ -94,9 +92,7 @@ def known(stratum: Column, strata: tuple[str, ...]) -> Column:
 def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.02, miss: float = 0.05, strata: tuple[str, ...] = STRATA, id_col: str = "doc_id", text_col: str = "text", strata_col: str | None = "lang") -> dict[str, dict[str, float]]:
     """Per stratum the cutoff of each rule that could be proved. Collects one row of counts per listed stratum."""
     good = labels.where(labels[id_col].isNotNull() & labels["quality"].isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
-    share = min(1.0, LABELLED / max(good.count(), 1))
-    drawn = good.where((F.pmod(F.xxhash64(F.col(id_col), F.lit("holdout")), F.lit(1_000_000)) < int(share * 1_000_000)) & (F.col("quality") == 1)).select(id_col)
-    held = measured(small_join(docs, drawn, [id_col], "left_semi"), id_col, text_col, strata_col)
+    held = measured(small_join(docs, good.where("quality = 1").select(id_col), [id_col], "left_semi"), id_col, text_col, strata_col)
     fit = F.col("fit")
     values = rates(F.col("m"))
     many = [F.count(F.when(fit & (values[r] > c), 1)).alias(f"{r}:{k}") for r, cs in RULES.items() for k, c in enumerate(cs)]
@@ -106,7 +102,9 @@ def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.02, miss: float
         got = out[row["stratum"]] = {}
         for r, cs in RULES.items():
             for k, c in enumerate(cs):
-                if binomial_tail(row[f"{r}:{k}"], row["n"], risk / len(RULES)) > miss / (groups * len(RULES)):
+                rejected, p = row[f"{r}:{k}"], risk / len(RULES)
+                # above the mean the tail is a half at least
+                if rejected > row["n"] * p or binomial_tail(rejected, row["n"], p) > miss / (groups * len(RULES)):
                     break
                 got[r] = c
     return out
@@ -137,7 +135,7 @@ def keep(docs: DataFrame, labels: DataFrame, strata: tuple[str, ...] = STRATA, i
 
 
 def sql(risk: float = 0.02, miss: float = 0.05) -> str:
-    """DuckDB SQL of score over documents and labels, where there are at most LABELLED labelled documents."""
+    """DuckDB SQL of score over documents and labels."""
     cuts = ", ".join(f"('{r}', {k}, {c})" for r, cs in RULES.items() for k, c in enumerate(cs))
     p, most = risk / len(RULES), miss / ((len(STRATA) + 1) * len(RULES))
     space = r"[\x20\x09-\x0D]"

@@ -2,7 +2,7 @@
 
 import pytest
 
-from fernwork.llm import html, licenses, lm
+from fernwork.llm import html, licenses, lm, quality
 
 GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
 # it under the terms of the GNU General Public License as published by
@@ -67,3 +67,10 @@ def test_unequal_sections():
     assert html.main_text(f"<body><div><p>{long}</p></div>{links}</body>") == long
     assert html.main_text(f"<article><p>{long}</p></article><article><p>Short article.</p></article>").split("\n\n") == [long, "Short article."]
     assert html.main_text(f"<main><h1>Title</h1><article><p>{long}</p></article></main>").split("\n\n") == ["Title", long]
+
+
+def test_rare_stratum_among_many_labels(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.range(1700).selectExpr("id AS doc_id", f"'{text}' AS text", "'es' AS lang")
+    labels = spark.range(120_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert set(quality.cutoffs(docs, labels)["es"]) == set(quality.RULES)
