@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ class Collection:
     key: str | None = None
     version: int = 0
     depth: int = 0  # changes since the table was last written out
+    next: int | None = None  # the next key to give, if it is known
+    schema: Any = None  # a constraints.Schema that inserts and updates keep to
 
 
 @dataclass(frozen=True)
@@ -53,8 +56,8 @@ class Catalog:
     def has(self, name: str) -> bool:
         return name.lower() in map(str.lower, self.collections)
 
-    def add(self, name: str, df: DataFrame, key: str | None = None) -> None:
-        self.collections[name] = Collection(name, df, key)
+    def add(self, name: str, df: DataFrame, key: str | None = None, schema: Any = None) -> None:
+        self.collections[name] = Collection(name, df, key, schema=schema)
 
     def add_edge(self, name: str, df: DataFrame, source: str, target: str, source_collection: str, target_collection: str, foreign: tuple[str, str] | None = None) -> None:
         """foreign tells that an edge is no more than a foreign key, so that a hop needs one join and not two."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fernwork.functions.expressions import QueryError
 from fernwork.operators.catalog import Catalog
+from fernwork.operators.constraints import repeats
 from fernwork.sources.scratch import new_path
 
 
@@ -38,9 +39,10 @@ def violations(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
-def check_unique(catalog: Catalog, collection: str) -> None:
+def check_unique(catalog: Catalog, collection: str, new: DataFrame) -> None:
+    """Raises if a value of the new rows breaks a unique index; only rows that have one of these values are looked at."""
     for name, (c, column, unique) in catalog.indexes.items():
-        if unique and c == collection and not violations(catalog.collections[c].df, column).isEmpty():
+        if unique and c == collection and column in new.columns and not repeats(catalog.collections[c].df, new, column).isEmpty():
             raise QueryError(f"{c}.{column} isn't unique ({name})")
 
 
@@ -70,6 +72,6 @@ def stats(df: DataFrame, column: str) -> DataFrame:
 
 def clustered(df: DataFrame, column: str) -> DataFrame:
     """The table written in order of the column, so that each file holds a narrow range of it."""
-    path = new_path(df.sparkSession)
+    path = new_path(df.sparkSession, "tables")
     df.repartitionByRange(F.col(column)).sortWithinPartitions(column).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

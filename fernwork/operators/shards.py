@@ -13,18 +13,20 @@ SHARDS, VIRTUAL, COPIES = 1024, 150, 3
 
 
 def shard_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int")
+    """The first 32 bits of the md5 of the key as text, modulo SHARDS: the same in any engine."""
+    return (F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % SHARDS).cast("int")
 
 
-def _point(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
+def _point(text: str) -> str:
+    """A place on the ring: the first 64 bits of the md5, in hexadecimal, so that order is order on the ring."""
+    return hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:16]
 
 
 class Ring:
     """Consistent hashing: a key belongs to the next virtual node on the ring, its copies to the next other nodes."""
 
     def __init__(self, nodes: list[str] | None = None):
-        self.points: list[tuple[int, str]] = []
+        self.points: list[tuple[str, str]] = []
         for x in nodes or ():
             self.add(x)
 

@@ -17,12 +17,17 @@ def between(edges: DataFrame, source: int, target: int) -> DataFrame:
     return edges.where((F.col("_src") == source) & (F.col("_dst") == target))
 
 
-def degrees(edges: DataFrame, direction: str = "out") -> DataFrame:
-    """edges (_src, _dst, _type): (node, degree), the number of different neighbours per type, over types and directions."""
-    out = edges.select(F.col("_src").alias("node"), F.col("_dst").alias("other"), "_type", F.lit("out").alias("way"))
-    back = edges.select(F.col("_dst").alias("node"), F.col("_src").alias("other"), "_type", F.lit("in").alias("way"))
-    both = out if direction == "out" else back if direction == "in" else out.union(back)
-    return both.distinct().groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+def degrees(edges: DataFrame, direction: str = "out", hubs: bool = False) -> DataFrame:
+    """edges (_src, _dst, _type): (node, degree), the number of different neighbours per type, over types and directions.
+
+    Rows are shuffled once, by vertex. Where single vertices hold a large part of all edges, `hubs` makes neighbours
+    different before, spread by vertex and neighbour, at the price of a second shuffle."""
+    ways = {"out": (("_src", "_dst"),), "in": (("_dst", "_src"),), "both": (("_src", "_dst"), ("_dst", "_src"))}[direction]
+    sides = [edges.select(F.col(a).alias("node"), F.col(b).alias("other"), "_type", F.lit(a).alias("way")) for a, b in ways]
+    met = sides[0] if len(sides) == 1 else sides[0].union(sides[1])
+    if hubs:
+        return met.distinct().groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return met.repartition("node").groupBy("node").agg(F.count_distinct("_type", "way", "other").alias("degree"))
 
 
 def all_edges(catalog: Catalog) -> DataFrame:

@@ -7,30 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def newest(versions: DataFrame) -> DataFrame:
+    """Per id the row with the greatest version, by an aggregation that is partial before the shuffle."""
+    best = versions.groupBy("id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in versions.columns]), "version").alias("_best"))
+    return best.select("_best.*")
+
+
 def visible(versions: DataFrame, txn: int, dirty: bool = False) -> DataFrame:
     """versions (id, version, created_by, deleted_by, ...): per id the newest version that a transaction sees.
 
     A dirty reader sees what isn't deleted, or deleted by a later transaction; others what an earlier one made
     and no earlier one, nor they themselves, deleted."""
     alive = F.col("deleted_by").isNull() | (F.col("deleted_by") > txn)
-    seen = versions.where(alive if dirty else (F.col("created_by") < txn) & alive)
-    best = Window.partitionBy("id").orderBy(F.col("version").desc())
-    return seen.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return newest(versions.where(alive if dirty else (F.col("created_by") < txn) & alive))
 
 
 def collected(versions: DataFrame, oldest: int) -> DataFrame:
-    """What garbage collection leaves: versions made since the oldest open transaction or not deleted before it, and
-    of an id with none of these its first one."""
+    """What garbage collection leaves: of every id its first version, versions made since the oldest open transaction,
+    and those not deleted before it."""
     keep = (F.col("created_by") >= oldest) | F.col("deleted_by").isNull() | (F.col("deleted_by") >= oldest)
-    by_id = Window.partitionBy("id")
-    df = versions.withColumn("_keep", keep).withColumn("_any", F.max("_keep").over(by_id)).withColumn("_n", F.row_number().over(by_id.orderBy("version")))
-    return df.where(F.col("_keep") | (~F.col("_any") & (F.col("_n") == 1))).drop("_keep", "_any", "_n")
+    first = F.min("version").over(Window.partitionBy("id"))
+    return versions.withColumn("_first", first).where(keep | (F.col("version") == F.col("_first"))).drop("_first")
 
 
 def latest(versions: DataFrame) -> DataFrame:
     """Per id the newest version, deleted or not."""
-    best = Window.partitionBy("id").orderBy(F.col("version").desc())
-    return versions.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return newest(versions)
 
 
 def outcomes(log: DataFrame) -> DataFrame:

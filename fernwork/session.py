@@ -16,9 +16,13 @@ from fernwork.plans import nodes as n
 from fernwork.plans.compiler import compile_query
 from fernwork.plans.lexer import tokenize
 from fernwork.plans.parser import language, parse
+from fernwork.sources import log
+from fernwork.sources.scratch import new_path
 
-#: Parsed statements that a database remembers.
-PLANS = 1000
+#: Parsed statements that a database remembers, and log entries that it holds back.
+PLANS, PENDING = 1000, 1000
+#: Statements that are queries.
+QUERY = (n.Select, n.SetOp, n.With)
 
 
 class TransactionError(RuntimeError):
@@ -32,7 +36,10 @@ class Database:
     spark: SparkSession
     catalog: Catalog = field(default_factory=Catalog)
     plans: OrderedDict = field(default_factory=OrderedDict)
-    log: list[tuple[int, int, str, str]] = field(default_factory=list)  # (pos, txn, kind, statement)
+    log_folder: str | None = None  # where the log is kept; by default among the application's own tables
+    images: bool = False  # whether changed rows are logged, so that replay() can do them again
+    pending: list[tuple[int, int, str, str]] = field(default_factory=list)  # entries not yet in the folder
+    logged: int = 0
     last_txn: int = 0
 
     def session(self) -> Session:
@@ -49,11 +56,29 @@ class Database:
                 self.plans.popitem(last=False)
         return self.plans[key]
 
-    def write_log(self, txn: int, kind: str, text: str = "") -> None:
-        self.log.append((len(self.log) + 1, txn, kind, text))
+    def write_log(self, txn: int, kind: str, text: str = "", rows: DataFrame | None = None, collection: str | None = None) -> None:
+        """Adds an entry; entries go to the folder PENDING at a time, those of changed rows at once."""
+        self.logged += 1
+        self.pending.append((self.logged, txn, kind, text))
+        if self.images and rows is not None:
+            self.flush()
+            log.append_rows(self.log_folder, rows, self.logged, txn, kind, collection)
+        if len(self.pending) >= PENDING:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.log_folder is None:
+            self.log_folder = new_path(self.spark, "log")
+        if self.pending:
+            log.append(self.spark, self.log_folder, self.pending)
+            self.pending = []
 
     def log_frame(self) -> DataFrame:
-        return self.spark.createDataFrame(self.log, "pos bigint, txn bigint, kind string, statement string")
+        """(pos, txn, kind, statement) of all entries, images left out."""
+        self.flush()
+        if not self.logged:
+            return self.spark.createDataFrame([], "pos bigint, txn bigint, kind string, statement string")
+        return log.read(self.spark, self.log_folder).where("image IS NULL").select("pos", "txn", "kind", "statement")
 
 
 class Session:
@@ -74,7 +99,7 @@ class Session:
     def execute(self, text: str, lang: str | None = None) -> DataFrame:
         """Rows of a query; for anything else one row with rows_affected (and the new keys of inserts)."""
         s = self.db.parse(text, lang)
-        if isinstance(s, (n.Select, n.SetOp)):
+        if isinstance(s, QUERY):
             return compile_query(self.catalog, s)
         if isinstance(s, n.Transaction):
             getattr(self, s.action)()
@@ -93,7 +118,7 @@ class Session:
     def explain(self, text: str, lang: str | None = None) -> dict[str, str]:
         s = self.db.parse(text, lang)
         plan = ""
-        if isinstance(s, (n.Select, n.SetOp)):
+        if isinstance(s, QUERY):
             plan = compile_query(self.catalog, s)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return {"language": lang or language(text), "plan": repr(s), "spark": plan}
 
@@ -111,18 +136,20 @@ class Session:
         if alone:
             self.begin()
         try:
-            ids: list = []
+            ids, new, name = [], None, getattr(s, "collection", None)
             if isinstance(s, n.Insert):
-                ids = changes.insert(self.catalog, self.spark, s)
+                ids, new = changes.insert(self.catalog, self.spark, s)
                 rows = len(s.rows)
-                indexes.check_unique(self.catalog, self.catalog.collection(s.collection).name)
             elif isinstance(s, n.Update):
-                rows = changes.update(self.catalog, s)
-                indexes.check_unique(self.catalog, self.catalog.collection(s.collection).name)
+                rows, new = changes.update(self.catalog, s)
+            elif isinstance(s, n.UpdateFrom):
+                rows, new, name = changes.update_from(self.catalog, s)
             elif isinstance(s, n.Delete):
-                rows = changes.delete(self.catalog, s)
+                rows, gone = changes.delete(self.catalog, s)
             elif isinstance(s, n.CreateEdge):
                 rows = changes.create_edge(self.catalog, self.spark, s)
+            elif isinstance(s, n.CreateFrom):
+                rows = changes.create_from(self.catalog, s)
             elif isinstance(s, n.CreateGraph):
                 ids = list(changes.create_graph(self.catalog, self.spark, s).values())
                 rows = len(s.nodes) + len(s.edges)
@@ -131,7 +158,11 @@ class Session:
                 rows = 0
             else:
                 raise QueryError(f"can't run {type(s).__name__}")
-            self.db.write_log(self.txn, type(s).__name__.lower(), text)
+            name = self.catalog.collection(name).name if name else None
+            if new is not None:
+                indexes.check_unique(self.catalog, name, new)
+            kind = {"updatefrom": "update"}.get(type(s).__name__.lower(), type(s).__name__.lower())
+            self.db.write_log(self.txn, kind, text, gone if isinstance(s, n.Delete) else new, name)
         except Exception:
             if alone:
                 self.rollback()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-from fernwork.operators.pheromone import ALPHA, INITIAL, LEAST, MOST
+from fernwork.operators.pheromone import INITIAL, LEAST, MOST, smoothed
 from fernwork.operators.versions import applied_changes
 
 
@@ -47,15 +47,16 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes", at: str = "t
 
 def strengths(log: DataFrame) -> DataFrame:
     """A stream of traversals (edge, at, latency in nanoseconds) to each edge's state after every batch:
-    (edge, traversals, latency, pheromone), by the rule of operators.pheromone.traversals."""
+    (edge, traversals, latency, pheromone), by the rules of operators.pheromone.traversals. Late rows of a batch are
+    put in order within it; the average of an edge's batch is folded with its state, the gains are summed at once."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, latency, strength = state.get if state.exists else (0, 0.0, INITIAL)
-        rows = pd.concat(list(frames)).sort_values(["at", "latency"])
-        for x in rows["latency"]:
-            latency = float(x) if n == 0 else float(int(ALPHA * x + (1 - ALPHA) * latency))
-            strength = min(max(strength + 1 / (1 + latency / 1e6), LEAST), MOST)
-            n += 1
+        rows = pd.concat(list(frames)).sort_values(["at", "latency"])["latency"].to_numpy("float64")
+        for x in rows:
+            latency = smoothed(latency, float(x))
+        strength = min(max(strength + float((1 / (1 + rows / 1e6)).sum()), LEAST), MOST)
+        n += len(rows)
         state.update((n, latency, strength))
         yield pd.DataFrame({"edge": [key[0]], "traversals": [n], "latency": [latency], "pheromone": [strength]})
 
