@@ -71,6 +71,33 @@ class Func:
     args: tuple
 
 
+@dataclass(frozen=True)
+class Over:
+    """A window function; frame is (rows or range, from, to) with None for an open end."""
+
+    name: str
+    args: tuple
+    partition: tuple = ()
+    order: tuple = ()  # of (expression, ascending)
+    frame: tuple | None = None
+
+
+@dataclass(frozen=True, eq=False)
+class InQuery:
+    """arg IN (query); arg None: EXISTS (query)."""
+
+    arg: Any
+    query: Any
+    negated: bool = False
+
+
+@dataclass(frozen=True, eq=False)
+class ScalarQuery:
+    """A query of one row and column as a value."""
+
+    query: Any
+
+
 @dataclass(frozen=True)
 class Case:
     branches: tuple  # of (condition, value)
@@ -97,6 +124,7 @@ class Hop:
     most: int | None = 1
     collection: str | None = None  # what the target is to be
     strength: Any = None  # edges of more than this pheromone only
+    shortest: bool = False  # the path itself is asked for
 
 
 @dataclass(frozen=True)
@@ -121,16 +149,26 @@ class Select:
     offset: int | None = None
     distinct: bool = False
     two_valued: bool = True  # the query language's comparisons; SQL and Cypher have three values
-    cube: str | None = None  # rollup or cube
+    cube: str | None = None  # rollup, cube or sets
+    sets: list = field(default_factory=list)  # grouping sets, as lists of expressions
+    strict: bool = False  # values of different types are never equal (Cypher)
 
 
 @dataclass
 class SetOp:
-    kind: str  # union, union all, intersect, except
+    kind: str  # union, union all, intersect, intersect all, except, except all
     left: Any
     right: Any
 
 
+@dataclass
+class With:
+    """Named queries, each of which sees those before it, and the query over them."""
+
+    tables: list  # of (name, query)
+    body: Any
+
+
 @dataclass(frozen=True)
 class Insert:
     collection: str
@@ -151,6 +189,27 @@ class Delete:
     collection: str
     where: Any = None
     two_valued: bool = True
+    cascade: bool = False
+
+
+@dataclass(frozen=True)
+class UpdateFrom:
+    """Updates the rows of a binding that a query reaches."""
+
+    query: Any
+    binding: str
+    sets: tuple  # of (column, expression)
+
+
+@dataclass(frozen=True)
+class CreateFrom:
+    """Makes an edge between each different pair of two bindings' rows that a query gives."""
+
+    query: Any
+    source: str
+    type: str
+    target: str
+    props: dict
 
 
 @dataclass(frozen=True)
@@ -172,7 +231,7 @@ class CreateGraph:
 @dataclass(frozen=True)
 class CreateTable:
     name: str
-    columns: tuple  # of (name, type)
+    columns: tuple  # of (name, type, constraints: a dict of required, unique, primary, default, check)
 
 
 @dataclass(frozen=True)
@@ -195,9 +254,11 @@ class Transaction:
 
 
 def walk(e: Any):
-    """An expression and all below it."""
+    """An expression and all below it, queries inside it left out."""
     yield e
     for name in getattr(e, "__dataclass_fields__", ()):
+        if name == "query":
+            continue
         x = getattr(e, name)
         for y in x if isinstance(x, tuple) else (x,):
             for z in y if isinstance(y, tuple) else (y,):
@@ -207,3 +268,11 @@ def walk(e: Any):
 
 def conjuncts(e: Any) -> list:
     return [] if e is None else conjuncts(e.left) + conjuncts(e.right) if isinstance(e, Op) and e.op == "and" else [e]
+
+
+def joined(conditions: list) -> Any:
+    """The conjunction of conditions, None for none."""
+    out = None
+    for c in conditions:
+        out = c if out is None else Op("and", out, c)
+    return out

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any
 
 from fernwork.plans import nodes as n
 from fernwork.plans.lexer import QuerySyntaxError, Token, tokenize
 
-AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX"}
+AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "STDDEV", "VARIANCE", "APPROX_COUNT_DISTINCT"}
 #: Words that end a list of names where an alias could stand.
-STOPS = {"TRAVERSE", "WHERE", "SELECT", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "SKIP", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "SEMI", "ANTI", "ON", "SET", "VALUES", "UNION", "INTERSECT", "EXCEPT", "RETURN", "FROM", "AS", "WITH"}
+STOPS = {"TRAVERSE", "WHERE", "SELECT", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "SKIP", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "ASOF", "SEMI", "ANTI", "ON", "SET", "VALUES", "UNION", "INTERSECT", "EXCEPT", "RETURN", "FROM", "AS", "WITH", "SHORTEST", "UPDATE", "CREATE", "OPTIMIZE", "CASCADE"}
 
 
 class Parser:
@@ -105,6 +106,8 @@ class Parser:
             return n.IsNull(left, no)
         no = self.is_word("NOT") and self.ahead().upper in ("IN", "LIKE", "BETWEEN") and bool(self.word("NOT"))
         if self.word("IN"):
+            if self.at_query():
+                return n.InQuery(left, self.subquery(), no)
             close = "]" if self.op("[") else ")" if self.op("(") else self.fail("a list")
             values = tuple(self.listed(self.sum))
             self.need_op(close)
@@ -118,6 +121,33 @@ class Parser:
             found = n.Op("and", n.Op(">=", left, low), n.Op("<=", left, self.sum()))
         return left if found is None else n.Not(found) if no else found
 
+    # queries inside expressions
+    def at_query(self) -> bool:
+        """Whether a query in brackets begins here."""
+        return self.is_op("(") and self.ahead().upper in ("SELECT", "FROM", "WITH")
+
+    def subquery(self) -> Any:
+        self.need_op("(")
+        out = self.query()
+        self.need_op(")")
+        return out
+
+    def query(self) -> Any:
+        """A query, with the tables that WITH names before it."""
+        if not (self.is_word("WITH") and self.ahead(2).upper == "AS"):
+            return self.plain_query()
+        self.need_word("WITH")
+
+        def table() -> tuple:
+            name = self.name()
+            self.need_word("AS")
+            return name, self.subquery()
+
+        return n.With(self.listed(table), self.plain_query())
+
+    def plain_query(self) -> Any:
+        return self.select()
+
     def sum(self) -> Any:
         left = self.product()
         while self.is_op("+", "-"):
@@ -158,28 +188,76 @@ class Parser:
     def primary(self) -> Any:
         if (got := self.literal()) is not None:
             return got
+        if self.at_query():
+            return n.ScalarQuery(self.subquery())
         if self.op("("):
             inner = self.expression()
             self.need_op(")")
             return inner
+        if self.is_word("EXISTS") and self.ahead().text == "(":
+            self.take()
+            return n.InQuery(None, self.subquery())
         if self.now.kind != "name":
             self.fail("an expression")
         if self.is_word("CASE"):
             return self.case()
         call = self.ahead().kind == "op" and self.ahead().text == "("
         if call and self.now.upper in AGGREGATES:
-            return self.aggregate()
+            return self.over(self.aggregate())
         first = self.name()
         if call:
             self.need_op("(")
             args = () if self.is_op(")") else tuple(self.listed(self.expression))
             self.need_op(")")
-            return n.Func(first.lower(), args)
+            return self.over(n.Func(first.lower(), args))
         if self.is_op(".") and (self.ahead().kind == "name" or self.ahead().text == "*"):
             self.take()
             return n.Star(first) if self.op("*") else n.Prop(first, self.name())
         return n.Prop(None, first)
 
+    def over(self, call: n.Agg | n.Func) -> Any:
+        """A call, or the window function that it is with OVER (PARTITION BY .. ORDER BY .. ROWS BETWEEN .. AND ..)."""
+        if not (self.is_word("OVER") and self.ahead().text == "("):
+            return call
+        self.take(), self.need_op("(")
+        partition: tuple = ()
+        if self.word("PARTITION"):
+            self.need_word("BY")
+            partition = tuple(self.listed(self.expression))
+        order: tuple = ()
+        if self.word("ORDER"):
+            self.need_word("BY")
+            order = tuple(self.listed(self.order_key))
+        frame = None
+        if kind := self.word("ROWS", "RANGE"):
+            between = bool(self.word("BETWEEN"))
+            low = self.bound()
+            high: int | None = 0
+            if between:
+                self.need_word("AND")
+                high = self.bound()
+            frame = (kind.lower(), low, high)
+        self.need_op(")")
+        args = call.args if isinstance(call, n.Func) else () if call.arg is None else (call.arg,)
+        if getattr(call, "distinct", False):
+            self.fail("a window function without DISTINCT")
+        return n.Over(call.name, args, partition, order, frame)
+
+    def bound(self) -> int | None:
+        """An end of a frame, rows before counted as negative; None is open."""
+        if self.word("UNBOUNDED"):
+            self.need_word("PRECEDING", "FOLLOWING")
+            return None
+        if self.word("CURRENT"):
+            self.need_word("ROW")
+            return 0
+        many = self.integer()
+        return -many if self.need_word("PRECEDING", "FOLLOWING") == "PRECEDING" else many
+
+    def order_key(self) -> tuple:
+        e = self.expression()
+        return e, self.word("ASC", "DESC") != "DESC"
+
     def aggregate(self) -> n.Agg:
         name = self.take().upper.lower()
         self.need_op("(")
@@ -213,9 +291,27 @@ class Parser:
 
     def tail(self, q: n.Select) -> n.Select:
         """GROUP BY, HAVING, ORDER BY, LIMIT, OFFSET."""
+        self.grouping(q)
+        return self.paging(q)
+
+    def grouping(self, q: n.Select) -> None:
         if self.word("GROUP"):
             self.need_word("BY")
-            if self.is_word("ROLLUP", "CUBE"):
+            if self.is_word("GROUPING") and self.ahead().upper == "SETS":
+                self.take(), self.take()
+                self.need_op("(")
+
+                def one() -> list:
+                    if not self.op("("):
+                        return [self.expression()]
+                    out = [] if self.is_op(")") else self.listed(self.expression)
+                    self.need_op(")")
+                    return out
+
+                q.cube, q.sets = "sets", self.listed(one)
+                q.group = list(dict.fromkeys(e for x in q.sets for e in x))
+                self.need_op(")")
+            elif self.is_word("ROLLUP", "CUBE"):
                 q.cube = self.take().upper.lower()
                 self.need_op("(")
                 q.group = self.listed(self.expression)
@@ -224,17 +320,11 @@ class Parser:
                 q.group = self.listed(self.expression)
         if self.word("HAVING"):
             q.having = self.expression()
-        return self.paging(q)
 
     def paging(self, q: n.Select) -> n.Select:
         if self.word("ORDER"):
             self.need_word("BY")
-
-            def key() -> tuple:
-                e = self.expression()
-                return e, self.word("ASC", "DESC") != "DESC"
-
-            q.order = self.listed(key)
+            q.order = self.listed(self.order_key)
         while self.is_word("LIMIT", "OFFSET", "SKIP"):
             if self.take().upper == "LIMIT":
                 q.limit = self.integer()
@@ -300,8 +390,8 @@ class Parser:
         return out
 
     def body(self) -> Any:
-        if self.is_word("FROM"):
-            return self.select()
+        if self.is_word("FROM", "WITH"):
+            return self.query()
         if self.word("INSERT"):
             return self.insert()
         if self.is_word("UPDATE"):
@@ -330,24 +420,65 @@ class Parser:
         name = self.name()
         q = n.Select(name, self.alias() or name, two_valued=self.two_valued)
         where = []
-        if self.word("WHERE"):
-            where.append(self.expression())
         last = q.alias
-        while self.word("TRAVERSE"):
+        while self.is_word("WHERE", "TRAVERSE"):
+            if self.word("WHERE"):
+                where.append(self.expression())
+                continue
+            self.need_word("TRAVERSE")
             # a list of patterns is a star around the first binding, a further TRAVERSE goes on from the last one
             centre = last
             for k, hop in enumerate(self.listed(lambda: self.pattern(q, centre))):
                 centre = centre if k else hop.source
                 last = hop.target
-        if self.word("WHERE"):
-            where.append(self.expression())
+        for e in where:
+            q.where = e if q.where is None else n.Op("and", q.where, e)
+        if self.word("SHORTEST"):
+            self.need_word("PATH")
+            q.steps = [replace(x, shortest=True) if isinstance(x, n.Hop) and x.path else x for x in q.steps]
+        if self.word("OPTIMIZE"):  # a hint for other engines; Catalyst plans
+            self.need_word("WITH")
+            self.expression()
+        if self.is_word("UPDATE"):
+            return self.update_from(q)
+        if self.is_word("CREATE"):
+            return self.create_from(q)
+        self.grouping(q)
         self.need_word("SELECT")
         q.distinct = bool(self.word("DISTINCT"))
         q.items = self.items()
-        for e in where:
-            q.where = e if q.where is None else n.Op("and", q.where, e)
         return self.tail(q)
 
+    def update_from(self, q: n.Select) -> n.UpdateFrom:
+        """UPDATE binding {property: expression, ..}; without a binding it is the first one."""
+        self.need_word("UPDATE")
+        binding = q.alias if self.is_op("{") else self.name()
+        self.need_op("{")
+
+        def one() -> tuple:
+            name = self.name()
+            self.need_op(":")
+            return name, self.expression()
+
+        sets = tuple(self.listed(one))
+        self.need_op("}")
+        return n.UpdateFrom(q, binding, sets)
+
+    def create_from(self, q: n.Select) -> n.CreateFrom:
+        """CREATE (binding)-[:T]->(binding) {properties}"""
+        self.need_word("CREATE")
+        self.need_op("(")
+        source = self.name()
+        self.need_op(")")
+        e = self.edge()
+        self.need_op("(")
+        target = self.name()
+        self.need_op(")")
+        if len(e["types"]) != 1 or e["direction"] == "both":
+            self.fail("one edge type and a direction")
+        ends = (source, target) if e["direction"] == "out" else (target, source)
+        return n.CreateFrom(q, ends[0], e["types"][0], ends[1], self.properties() if self.is_op("{") else e.get("props", {}))
+
     def pattern(self, q: n.Select, centre: str) -> n.Hop:
         e = self.edge()
         e.pop("props", None)
@@ -358,12 +489,18 @@ class Parser:
             target = self.name()
             if self.op(":"):
                 collection = self.name()
+            elif self.word("AS"):
+                collection, target = target, self.name()
         strength = None
         if self.is_word("WITH") and self.ahead().upper == "PHEROMONE":
             self.take(), self.take()
             self.word("STRENGTH")
             self.need_op(">")
             strength = self.value()
+        elif self.is_word("WITH") and self.ahead().upper == "EXPLORE":  # a hint for other engines
+            self.take(), self.take()
+            self.need_word("RATE")
+            self.value()
         hop = n.Hop(centre, target, collection=collection, strength=strength, **e)
         q.steps.append(hop)
         return hop
@@ -405,7 +542,7 @@ class Parser:
         self.need_word("DELETE")
         self.need_word("FROM")
         name = self.name()
-        return n.Delete(name, self.expression() if self.word("WHERE") else None, self.two_valued)
+        return n.Delete(name, self.expression() if self.word("WHERE") else None, self.two_valued, bool(self.word("CASCADE")))
 
     def create(self) -> Any:
         if self.word("DROP"):
@@ -423,6 +560,8 @@ class Parser:
             return n.CreateIndex(name, collection, column, unique)
         if self.word("TABLE"):
             return self.create_table()
+        if self.now.kind == "name":
+            return n.Insert(self.name(), (self.properties(),))
         self.need_op("(")
         source = self.expression()
         self.need_op(")")
@@ -442,12 +581,30 @@ class Parser:
         self.need_op("(")
 
         def column() -> tuple:
-            out = self.name(), self.name().upper()
+            column, kind = self.name(), self.name().upper()
             if self.op("("):
                 self.integer(), self.need_op(")")
-            while self.now.kind == "name":  # constraints are told to the schema, not here
-                self.take()
-            return out
+            rules: dict = {}
+            while self.now.kind == "name":
+                if self.word("NOT"):
+                    self.need_word("NULL")
+                    rules["required"] = True
+                elif self.word("NULL"):
+                    pass
+                elif self.word("UNIQUE"):
+                    rules["unique"] = True
+                elif self.word("PRIMARY"):
+                    self.need_word("KEY")
+                    rules["primary"] = True
+                elif self.word("DEFAULT"):
+                    rules["default"] = self.value()
+                elif self.word("CHECK"):
+                    self.need_op("(")
+                    rules["check"] = self.expression()
+                    self.need_op(")")
+                else:
+                    self.fail("a constraint")
+            return column, kind, rules
 
         columns = tuple(self.listed(column))
         self.need_op(")")
@@ -458,7 +615,10 @@ class SqlParser(Parser):
     two_valued = False
 
     def body(self) -> Any:
-        return self.union() if self.is_word("SELECT") or self.is_op("(") else super().body()
+        return self.query() if self.is_word("SELECT", "WITH") or self.is_op("(") else super().body()
+
+    def plain_query(self) -> Any:
+        return self.union()
 
     def union(self) -> Any:
         left = self.intersection()
@@ -471,7 +631,7 @@ class SqlParser(Parser):
     def intersection(self) -> Any:
         left = self.block()
         while self.word("INTERSECT"):
-            left = n.SetOp("intersect", left, self.block())
+            left = n.SetOp("intersect all" if self.word("ALL") else "intersect", left, self.block())
         return left
 
     def block(self) -> Any:
@@ -485,8 +645,10 @@ class SqlParser(Parser):
         self.need_word("FROM")
         name = self.name()
         q = n.Select(name, self.alias() or name, items=items, distinct=distinct, two_valued=False)
-        while self.is_word("JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS"):
+        while self.is_word("JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "ASOF"):
             kind = "inner" if self.is_word("JOIN") else self.take().upper.lower()
+            if kind == "asof" and self.word("LEFT"):
+                kind = "asof_left"
             if self.is_word("SEMI", "ANTI"):
                 kind = f"{kind}_{self.take().upper.lower()}"
             self.word("OUTER")
@@ -559,7 +721,7 @@ class CypherParser(Parser):
         for c in conditions:
             where = c if where is None else n.Op("and", where, c)
         self.need_word("RETURN")
-        q = n.Select(first[1], first[0], steps=list(hops), where=where, two_valued=False)
+        q = n.Select(first[1], first[0], steps=list(hops), where=where, two_valued=False, strict=True)
         q.distinct = bool(self.word("DISTINCT"))
         variables = {v for v, _, _ in nodes}
 
@@ -577,7 +739,9 @@ class CypherParser(Parser):
 
 def language(text: str) -> str:
     """sql, cypher or query (FROM first), by the first two words."""
-    words = [t.upper or t.text for t in tokenize(text)[:2]]
+    words = [t.upper or t.text for t in tokenize(text)[:5]]
+    if words[0] == "WITH":  # WITH name AS ( ..
+        return "sql" if words[4:] == ["SELECT"] else "query"
     if words[0] == "MATCH":
         return "cypher"
     if words[0] == "SELECT" or words[:2] in (["CREATE", "TABLE"],) or words[0] == "(":
