@@ -5,7 +5,7 @@ from itertools import product
 import pytest
 
 from fernwork.functions.expressions import QueryError
-from fernwork.operators import changes, paths, stats
+from fernwork.operators import paths, stats
 from fernwork.plans import nodes as n
 from fernwork.session import Database, TransactionError
 
@@ -23,54 +23,107 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.fixture
-def users(spark):
-    return db_of(spark, [("Users", "id bigint, name string, age bigint, city string", [(i, f"User{i}", 20 + i, "NYC" if i % 2 == 0 else "SF") for i in range(1, 11)], "id")])
+#: Stations with nulls in every property, equal heights and digits as text; lines between them, two of them parallel.
+STATIONS = [(10, "quarry", 480, "3"), (11, "mill", None, "4"), (12, "weir", 305, None), (13, None, 305, "3"), (14, "lock", 120, "x"), (15, "pier", None, None)]
+LINES = [(10, 11, 7), (10, 12, 2), (11, 14, 9), (12, 10, 4), (12, 10, 5), (14, 15, 1)]
 
 
 @pytest.fixture
-def follows(spark):
-    people = [(1, "Alice", 28, "NYC"), (2, "Bob", 32, "NYC"), (3, "Carol", 25, "SF"), (4, "Dave", 30, "NYC")]
-    return db_of(spark, [("Users", "id bigint, name string, age bigint, city string", people, "id")], [("FOLLOWS", [(1, 2, 1), (1, 3, 2), (2, 4, 3), (3, 1, 4)], "Users", "Users")])
-
+def stations(spark):
+    return db_of(spark, [("Station", "id bigint, label string, height bigint, zone string", STATIONS, "id")], [("LINE", LINES, "Station", "Station")])
+
+
+def test_filters(stations):
+    s = stations.session()
+    assert rows(s.execute("FROM Station WHERE height > 120 SELECT id")) == [(10,), (12,), (13,)]
+    assert rows(s.execute("FROM Station WHERE NOT height > 120 SELECT id")) == [(11,), (14,), (15,)]
+    assert rows(s.execute("FROM Station WHERE zone = '3' SELECT id")) == [(10,), (13,)]
+    assert rows(s.execute("FROM Station SELECT id, height ORDER BY height DESC, id LIMIT 3 OFFSET 2")) == [(11, None), (13, 305), (14, 120)]
+    assert s.execute("FROM Station SELECT label LIMIT 0").count() == 0
+
+
+def test_values_of_different_types(stations):
+    s = stations.session()
+    for never in ("zone = 3", "zone > 3", "height = 'x'", "height < 'x'", "label = TRUE"):
+        assert s.execute(f"FROM Station WHERE {never} SELECT id").count() == 0
+    for always in ("zone != 3", "NOT zone > 3", "height != 'x'", "NOT height < 'x'"):
+        assert s.execute(f"FROM Station WHERE {always} SELECT id").count() == 6
+    assert rows(s.execute("FROM Station WHERE zone = height SELECT id")) == [(15,)]  # both are null
+    assert rows(s.execute("FROM Station WHERE height = 305.0 SELECT id")) == [(12,), (13,)]
+    # SQL turns values to the other side's type; what can't be turned matches nothing
+    assert rows(s.sql("SELECT id FROM Station WHERE zone = 3")) == [(10,), (13,)]
+    assert rows(s.sql("SELECT id FROM Station WHERE zone <> 3")) == [(11,)]
+    assert rows(s.sql("SELECT id FROM Station WHERE height = '305'")) == [(12,), (13,)]
+    assert s.sql("SELECT id FROM Station WHERE height = 'tall'").count() == 0
+    # Cypher: unequal, and in no order; nulls match nothing
+    assert s.execute("MATCH (x:Station) WHERE x.zone = 3 OR x.zone > 3 RETURN x.id").count() == 0
+    assert s.execute("MATCH (x:Station) WHERE x.zone <> 3 RETURN x.id").count() == 4
+
+
+def test_hops(stations):
+    s = stations.session()
+    assert rows(s.execute("FROM Station u TRAVERSE -[:LINE]-> v WHERE u.id = 10 SELECT v.label")) == [("mill",), ("weir",)]
+    assert rows(s.execute("FROM Station u TRAVERSE <-[:LINE]- v WHERE u.id = 10 SELECT v.label")) == [("weir",), ("weir",)]
+    assert s.execute("FROM Station u TRAVERSE <-[:LINE]-> v SELECT v.label").count() == 12
+    got = s.execute("FROM Station u TRAVERSE -[p:LINE*1..2]-> v WHERE u.label = 'quarry' SELECT v.id, p.depth")
+    assert rows(got) == [(11, 1), (12, 1), (14, 2)]
+    assert rows(s.execute("FROM Station u TRAVERSE -[e:LINE]-> v WHERE e.w > 6 SELECT u.id, v.id")) == [(10, 11), (11, 14)]
+    assert rows(s.execute("FROM Station u TRAVERSE -[:LINE]-> v TRAVERSE -[:LINE]-> w WHERE u.id = 12 SELECT v.id, w.id")) == [(10, 11), (10, 11), (10, 12), (10, 12)]
+    assert rows(s.execute("FROM Station u TRAVERSE -[:LINE]-> v, <-[:LINE]- w WHERE u.id = 14 SELECT v.id, w.id")) == [(15, 11)]
+    assert rows(s.traverse("Station", 10, "LINE", 9)) == [(11, 1), (12, 1), (14, 2), (15, 3)]
+    assert rows(s.traverse("Station", 10, "LINE", 9, lambda df: df["id"] != 11)) == [(12, 1)]
+    got = s.execute("FROM Station u WHERE u.id = 12 TRAVERSE -[:LINE*]-> v WHERE v.id = 15 SHORTEST PATH SELECT PATH, DEPTH(v) AS d")
+    assert [(r["PATH"], r["d"]) for r in got.collect()] == [([12, 10, 11, 14, 15], 4)]
 
-def test_filters(users):
-    s = users.session()
-    assert s.execute("FROM Users WHERE age > 20 SELECT name").count() == 10
-    assert s.execute("FROM Users WHERE city = 'NYC' SELECT name").count() == 5
-    assert rows(s.execute("FROM Users SELECT name, age ORDER BY age DESC LIMIT 2 OFFSET 1")) == [("User8", 28), ("User9", 29)]
-    assert s.execute("FROM Users SELECT name LIMIT 0").count() == 0
 
+def test_chain_pairs(spark):
+    db = db_of(spark, [("Stop", "id bigint", [(i,) for i in range(7)], "id")], [("NEXT", [(i, i + 1, 0) for i in range(6)], "Stop", "Stop")])
+    pairs = {hops: [(a, b) for a in range(7) for b in range(7) if b - a in hops] for hops in (range(1, 4), range(1, 7), range(2, 7), range(2, 3))}
+    for hops, text in zip(pairs, ("*1..3", "*", "*2..", "*2"), strict=True):
+        assert rows(db.session().execute(f"FROM Stop a TRAVERSE -[:NEXT{text}]-> b SELECT a.id, b.id")) == pairs[hops]
+
+
+def test_cypher(stations):
+    s = stations.session()
+    assert rows(s.execute("MATCH (u:Station {label: 'quarry'})-[:LINE]->(v:Station) RETURN v.label")) == [("mill",), ("weir",)]
+    assert s.execute("MATCH (u:Station)-[:LINE]->(v:Station) RETURN u.label, v.label").columns == ["u.label", "v.label"]
+    assert rows(s.execute("MATCH (a:Station)-[:LINE]->(b:Station)-[:LINE]->(a) RETURN a.id AS x")) == [(10,), (10,), (12,), (12,)]
+    assert s.execute("MATCH (a:Station) WHERE a.id = 12 RETURN a").first()["a"]["label"] == "weir"
+    s.execute("CREATE (x:Station {label: 'dock', height: 2})-[:FEEDS {kind: 'water'}]->(y:Basin {size: 8})")
+    assert rows(s.execute("MATCH (x:Station)-[k:FEEDS]->(y:Basin) RETURN x.label AS n, k.kind AS s, y.size AS k")) == [("dock", "water", 8)]
+
+
+def test_queries_inside_queries(stations):
+    s = stations.session()
+    assert rows(s.sql("SELECT id FROM Station WHERE height IN (SELECT height FROM Station WHERE label = 'weir')")) == [(12,), (13,)]
+    assert s.sql("SELECT id FROM Station WHERE id NOT IN (SELECT height FROM Station)").count() == 0  # a null among them
+    assert rows(s.sql("SELECT id FROM Station WHERE id NOT IN (SELECT id FROM Station WHERE height > 200)")) == [(11,), (14,), (15,)]
+    assert s.sql("SELECT id FROM Station WHERE height NOT IN (SELECT id FROM Station WHERE id > 99)").count() == 6
+    assert rows(s.execute("FROM Station WHERE zone IN (FROM Station WHERE id = 15 SELECT zone) SELECT id")) == [(12,), (15,)]  # null is null
+    assert rows(s.sql("SELECT a.id FROM Station a WHERE EXISTS (SELECT * FROM Station b WHERE b.height = a.height AND b.id > a.id)")) == [(12,)]
+    assert rows(s.sql("SELECT a.id FROM Station a WHERE a.height > 0 AND NOT EXISTS (SELECT * FROM Station b WHERE b.height < a.height)")) == [(14,)]
+    assert rows(s.sql("SELECT id FROM Station WHERE height = (SELECT MAX(height) FROM Station)")) == [(10,)]
+    assert rows(s.sql("WITH high AS (SELECT id FROM Station WHERE height > 300), low AS (SELECT id FROM high WHERE id < 13) SELECT COUNT(*) AS n FROM low")) == [(2,)]
+    with pytest.raises(QueryError):
+        s.sql("SELECT id FROM Station WHERE id = 1 OR id IN (SELECT id FROM Station)")
+    with pytest.raises(Exception, match="more than one row"):
+        s.sql("SELECT id FROM Station WHERE id = (SELECT id FROM Station)").collect()
 
-def test_hops(follows):
-    s = follows.session()
-    assert rows(s.execute("FROM Users u TRAVERSE -[:FOLLOWS]-> f WHERE u.name = 'Alice' SELECT f.name")) == [("Bob",), ("Carol",)]
-    assert rows(s.execute("FROM Users u TRAVERSE <-[:FOLLOWS]- f WHERE u.name = 'Alice' SELECT f.name")) == [("Carol",)]
-    assert s.execute("FROM Users u TRAVERSE <-[:FOLLOWS]-> f SELECT f.name").count() == 8
-    got = s.execute("FROM Users u TRAVERSE -[p:FOLLOWS*1..2]-> f WHERE u.name = 'Alice' SELECT f.name, p.depth")
-    assert rows(got) == [("Bob", 1), ("Carol", 1), ("Dave", 2)]
-    assert rows(s.execute("FROM Users u TRAVERSE -[e:FOLLOWS]-> f WHERE e.w > 2 SELECT u.name, f.name")) == [("Bob", "Dave"), ("Carol", "Alice")]
-    assert rows(s.execute("FROM Users u TRAVERSE -[:FOLLOWS]-> f TRAVERSE -[:FOLLOWS]-> g SELECT u.name, g.name")) == [("Alice", "Alice"), ("Alice", "Dave"), ("Carol", "Bob"), ("Carol", "Carol")]
-    assert rows(s.execute("FROM Users u TRAVERSE -[:FOLLOWS]-> f, <-[:FOLLOWS]- g WHERE u.id = 1 SELECT f.name, g.name")) == [("Bob", "Carol"), ("Carol", "Carol")]
-    assert rows(s.traverse("Users", 1, "FOLLOWS", 5)) == [(2, 1), (3, 1), (4, 2)]
-    assert rows(s.traverse("Users", 1, "FOLLOWS", 5, lambda df: df["name"] != "Bob")) == [(3, 1)]
 
+def test_window_text(stations):
+    s = stations.session()
+    got = rows(s.execute("FROM Station SELECT id, RANK() OVER (ORDER BY height) AS r, SUM(height) OVER (PARTITION BY zone ORDER BY id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS t"))
+    assert got == [(10, 4, 480), (11, 5, None), (12, 2, 305), (13, 2, 785), (14, 1, 120), (15, 5, 305)]
+    assert rows(s.sql("SELECT id, LAG(id, 2) OVER (ORDER BY id DESC) AS b FROM Station WHERE id < 13")) == [(10, 12), (11, None), (12, None)]
 
-def test_chain_pairs(spark):
-    db = db_of(spark, [("Users", "id bigint, name string", [(i, f"U{i}") for i in range(1, 6)], "id")], [("FOLLOWS", [(i, i + 1, 0) for i in range(1, 5)], "Users", "Users")])
-    assert db.session().execute("FROM Users a TRAVERSE -[:FOLLOWS*1..3]-> b SELECT a.name, b.name").count() == 9
-    assert db.session().execute("FROM Users a TRAVERSE -[:FOLLOWS*]-> b SELECT a.name, b.name").count() == 10
-    assert db.session().execute("FROM Users a TRAVERSE -[:FOLLOWS*2..]-> b SELECT a.name, b.name").count() == 6
 
-
-def test_cypher(follows):
-    s = follows.session()
-    assert rows(s.execute("MATCH (u:Users {name: 'Alice'})-[:FOLLOWS]->(f:Users) RETURN f.name")) == [("Bob",), ("Carol",)]
-    assert s.execute("MATCH (u:Users)-[:FOLLOWS]->(f:Users) RETURN u.name, f.name").columns == ["u.name", "f.name"]
-    assert rows(s.execute("MATCH (a:Users)-[:FOLLOWS]->(b:Users)-[:FOLLOWS]->(a) RETURN a.name AS x")) == [("Alice",), ("Carol",)]
-    assert s.execute("MATCH (a:Users) WHERE a.id = 1 RETURN a").first()["a"]["name"] == "Alice"
-    s.execute("CREATE (x:Users {name: 'Eve', age: 22})-[:KNOWS {since: 'may'}]->(y:Pets {kind: 'cat'})")
-    assert rows(s.execute("MATCH (x:Users)-[k:KNOWS]->(y:Pets) RETURN x.name AS n, k.since AS s, y.kind AS k")) == [("Eve", "may", "cat")]
+def test_as_of_text(spark):
+    db = db_of(spark, [("Price", "at bigint, item string, price bigint", [(1, "a", 5), (4, "a", 6), (2, "b", 9)], None), ("Sale", "n bigint, at bigint, item string", [(1, 3, "a"), (2, 4, "a"), (3, 0, "a"), (4, 9, "c")], "n")])
+    s = db.session()
+    assert rows(s.sql("SELECT s.n, p.price FROM sale s ASOF LEFT JOIN price p ON s.item = p.item AND s.at >= p.at")) == [(1, 5), (2, 6), (3, None), (4, None)]
+    assert rows(s.sql("SELECT s.n, p.price FROM sale s ASOF JOIN price p ON s.item = p.item AND p.at <= s.at WHERE p.price > 5")) == [(2, 6)]
+    with pytest.raises(QueryError):
+        s.sql("SELECT s.n FROM sale s ASOF JOIN price p ON s.item = p.item AND s.at <= p.at")
 
 
 def test_grouping(spark):
@@ -99,12 +152,12 @@ def test_nulls(spark):
     assert rows(s.execute("FROM Items WHERE count = 42 SELECT count / 0 AS a, count + 1 AS b")) == [(None, 43)]
 
 
-def test_arithmetic_on_strings(users):
-    s = users.session()
-    assert rows(s.execute("FROM Users WHERE id = 1 SELECT name + 1 AS a, age * 2 AS b, 'x' - age AS c")) == [(None, 42, None)]
-    assert rows(s.sql("SELECT name + 1 AS a, '2' * age AS b FROM Users WHERE id = 1")) == [(None, 42.0)]
-    s.execute("UPDATE Users SET age = city + 1 WHERE id = 2")
-    assert rows(s.execute("FROM Users WHERE id = 2 SELECT age")) == [(None,)]
+def test_arithmetic_on_strings(stations):
+    s = stations.session()
+    assert rows(s.execute("FROM Station WHERE id = 10 SELECT label + 1 AS a, height * 2 AS b, 'x' - height AS c")) == [(None, 960, None)]
+    assert rows(s.sql("SELECT label + 1 AS a, '2' * height AS b FROM Station WHERE id = 10")) == [(None, 960.0)]
+    s.execute("UPDATE Station SET height = zone + 1 WHERE id = 10")
+    assert rows(s.execute("FROM Station WHERE id = 10 SELECT height")) == [(None,)]
 
 
 def two_valued(e, row):
@@ -160,66 +213,96 @@ def test_reachable_is_bfs(spark, seed):
     assert got == want
 
 
-def test_changes(spark):
-    db = db_of(spark, [("U", "id bigint, name string, age bigint", [(1, "Alice", 28), (2, "Bob", 32), (3, "Carol", 24), (4, "Dave", 35), (5, "Eve", 22)], "id")], [("F", [(1, 2, 0), (2, 3, 0)], "U", "U")])
+def test_changes(stations):
+    db = stations
     s = db.session()
-    assert s.execute("FROM U WHERE age > 25 SELECT name").count() == 3
-    r = s.execute("INSERT INTO U VALUES ({name: 'Zed', age: 50, city: 'X'})").first()
-    assert (r["rows_affected"], r["ids"]) == (1, [6])
-    assert rows(s.execute("FROM U WHERE city = 'X' SELECT id, name")) == [(6, "Zed")]
-    assert s.execute("UPDATE U SET age = age + 1, name = 'old' WHERE age > 30").first()[0] == 3
-    assert rows(s.execute("FROM U WHERE name = 'old' SELECT age")) == [(33,), (36,), (51,)]
-    assert s.execute("DELETE FROM U WHERE id = 2").first()[0] == 1
-    assert s.execute("FROM U a TRAVERSE -[:F]-> b SELECT a.id").count() == 0 and db.catalog.edges["F"].df.count() == 2
-    changes.delete(db.catalog, n.Delete("U", n.Op("=", n.Prop(None, "id"), n.Lit(3))), cascade=True)
-    assert db.catalog.edges["F"].df.count() == 0
+    r = s.execute("INSERT INTO Station VALUES ({label: 'dam', height: 50, owner: 'city'})").first()
+    assert (r["rows_affected"], r["ids"]) == (1, [16])
+    assert rows(s.execute("FROM Station WHERE owner = 'city' SELECT id, label")) == [(16, "dam")]
+    assert s.execute("UPDATE Station SET height = height + 1, label = 'high' WHERE height > 300").first()[0] == 3
+    assert rows(s.execute("FROM Station WHERE label = 'high' SELECT height")) == [(306,), (306,), (481,)]
+    assert s.execute("DELETE FROM Station WHERE id = 14").first()[0] == 1
+    assert s.execute("FROM Station a TRAVERSE -[:LINE]-> b SELECT a.id").count() == 4 and db.catalog.edges["LINE"].df.count() == 6
+    assert s.execute("DELETE FROM Station WHERE id = 12 CASCADE").first()[0] == 1
+    assert rows(db.catalog.edges["LINE"].df.select("s", "d")) == [(10, 11)]
     s.sql("CREATE TABLE t (id INTEGER, name TEXT)")
     s.sql("INSERT INTO t (id, name) VALUES (1, 'a'), (2, 'b')")
     assert rows(s.sql("SELECT name FROM t WHERE id = 2")) == [("b",)]
     s.execute("INSERT INTO New VALUES ({x: 1.5})")
     assert rows(s.execute("FROM New SELECT x")) == [(1.5,)]
-    for k in range(20):
-        s.execute(f"UPDATE New SET x = x + {k}")
-    assert s.execute("FROM New SELECT x").first()[0] == 1.5 + sum(range(20))
+
+
+def test_changes_through_traversals(stations):
+    s = stations.session()
+    assert s.execute("FROM Station a WHERE a.id = 12 TRAVERSE -[:LINE]-> b UPDATE b {height: b.height + 1, zone: 'new'}").first()[0] == 1  # reached twice, changed once
+    assert rows(s.execute("FROM Station WHERE zone = 'new' SELECT id, height")) == [(10, 481)]
+    assert s.execute("FROM Station WHERE label = 'lock' UPDATE {height: 0}").first()[0] == 1
+    assert s.execute("FROM Station a TRAVERSE -[:LINE]-> b TRAVERSE -[:LINE]-> c CREATE (a)-[:NEAR]->(c) {hops: 2}").first()[0] == 5
+    assert rows(s.execute("FROM Station a TRAVERSE -[k:NEAR]-> c WHERE a.id = 10 SELECT c.id, k.hops")) == [(10, 2), (14, 2)]
+
+
+def test_committed_tables_stay_apart(stations):
+    from fernwork.sources.scratch import folder
+
+    s = stations.session()
+    for k in range(17):
+        s.execute(f"UPDATE Station SET height = height + {k} WHERE id = 10")
+    assert f"{folder(s.spark)}/fernwork/{s.spark.sparkContext.applicationId}/tables/" in s.catalog.collection("Station").df.inputFiles()[0]
+    assert rows(s.execute("FROM Station WHERE id = 10 SELECT height")) == [(480 + sum(range(17)),)]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from fernwork.sources import scratch
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"master": "spark://far:7077", "applicationId": "app"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.folder(Far)
+    Far.sparkContext.master = "local[2]"
+    assert scratch.folder(Far) == scratch.folder(Far)
 
 
 def test_transactions(spark):
-    db = db_of(spark, [("Accounts", "id bigint, name string, balance bigint", [(1, "Alice", 1000), (2, "Bob", 500)], "id")])
+    db = db_of(spark, [("Tank", "id bigint, litres bigint", [(1, 70), (2, None), (3, 5)], "id")])
     a, b = db.session(), db.session()
     a.execute("BEGIN TRANSACTION")
-    a.execute("UPDATE Accounts SET balance = balance - 100 WHERE id = 1")
-    a.execute("UPDATE Accounts SET balance = balance + 100 WHERE id = 2")
-    assert rows(b.execute("FROM Accounts SELECT balance")) == [(1000,), (500,)]
+    a.execute("UPDATE Tank SET litres = litres - 20 WHERE id = 1")
+    a.execute("UPDATE Tank SET litres = 20 WHERE litres = NULL")
+    assert rows(b.execute("FROM Tank SELECT litres")) == [(5,), (70,), (None,)]
     a.execute("COMMIT")
-    assert rows(b.execute("FROM Accounts SELECT balance")) == [(600,), (900,)]
+    assert rows(b.execute("FROM Tank SELECT litres")) == [(20,), (5,), (50,)]
     a.execute("BEGIN"), b.execute("BEGIN")
-    a.execute("DELETE FROM Accounts WHERE id = 1"), b.execute("DELETE FROM Accounts WHERE id = 2")
+    a.execute("DELETE FROM Tank WHERE id = 1"), b.execute("DELETE FROM Tank WHERE id = 2")
     a.execute("COMMIT")
     with pytest.raises(TransactionError):
         b.execute("COMMIT")
-    assert rows(b.execute("FROM Accounts SELECT id")) == [(2,)]
+    assert rows(b.execute("FROM Tank SELECT id")) == [(2,), (3,)]
     a.execute("BEGIN")
-    a.execute("INSERT INTO Accounts VALUES ({id: 9})")
+    a.execute("INSERT INTO Tank VALUES ({id: 9})")
     a.execute("ROLLBACK")
-    assert a.execute("FROM Accounts SELECT id").count() == 1
+    assert a.execute("FROM Tank SELECT id").count() == 2
     with pytest.raises(TransactionError):
         a.execute("COMMIT")
     from fernwork.operators.versions import outcomes
 
-    got = {r["outcome"] for r in outcomes(db.log_frame()).collect()}
-    assert got == {"committed", "aborted"}
+    assert {r["outcome"] for r in outcomes(db.log_frame()).collect()} == {"committed", "aborted"}
 
 
-def test_index_and_errors(users):
-    s = users.session()
-    s.execute("CREATE UNIQUE INDEX by_name ON Users(name)")
+def test_index_and_errors(stations):
+    s = stations.session()
+    s.execute("CREATE UNIQUE INDEX by_label ON Station(label)")
+    with pytest.raises(QueryError):
+        s.execute("INSERT INTO Station VALUES ({label: 'mill'})")
+    s.execute("INSERT INTO Station VALUES ({height: 1}), ({height: 2})")  # nulls aren't indexed
+    assert s.execute("FROM Station SELECT id").count() == 8
     with pytest.raises(QueryError):
-        s.execute("INSERT INTO Users VALUES ({name: 'User1'})")
-    assert s.execute("FROM Users SELECT name").count() == 10
+        s.execute("UPDATE Station SET label = 'all'")
     with pytest.raises(QueryError):
-        s.execute("CREATE UNIQUE INDEX by_city ON Users(city)")
-    s.execute("DROP INDEX by_name")
-    for bad in ("FROM Nope SELECT x", "FROM Users SELECT nope", "FROM Users TRAVERSE -[:NOPE]-> x SELECT x.y", "FROM Users SELECT FOO(name)", "FROM Users SELECT city, COUNT(*) GROUP BY age"):
+        s.execute("CREATE UNIQUE INDEX by_height ON Station(height)")
+    s.execute("DROP INDEX by_label")
+    for bad in ("FROM Nope SELECT x", "FROM Station SELECT nope", "FROM Station TRAVERSE -[:NOPE]-> x SELECT x.y", "FROM Station SELECT FOO(label)", "FROM Station SELECT zone, COUNT(*) GROUP BY height"):
         with pytest.raises(QueryError):
             s.execute(bad).collect()
 
@@ -234,14 +317,16 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "EqualTo(a,3)" in plan and "LessThan(id,100)" in plan and "b:" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_stats(follows):
-    e = follows.catalog.edges["FOLLOWS"].ends().selectExpr("_src", "_dst", "'F' AS _type")
-    assert rows(stats.degrees(e, "both")) == [(1, 3), (2, 2), (3, 2), (4, 1)]
-    g = stats.graph_stats(follows.catalog).first()
-    assert (g["entities"], g["edges"], g["collections"]) == (4, 4, 1)
-    c = stats.collection_stats(follows.catalog, "Users", follows.catalog.edges["FOLLOWS"]).first()
-    assert (c["rows"], c["avg_properties"], c["avg_degree"]) == (4, 3.0, 1.0)
-    assert stats.all_entities(follows.catalog).where("_id = 1").first()["properties"]["name"] == "Alice"
+@pytest.mark.parametrize("hubs", [False, True])
+def test_stats(stations, hubs):
+    e = stations.catalog.edges["LINE"].ends().selectExpr("_src", "_dst", "'L' AS _type")
+    assert rows(stats.degrees(e, "both", hubs)) == [(10, 3), (11, 2), (12, 2), (14, 2), (15, 1)]
+    assert rows(stats.degrees(e, "in", hubs)) == [(10, 1), (11, 1), (12, 1), (14, 1), (15, 1)]
+    g = stats.graph_stats(stations.catalog).first()
+    assert (g["entities"], g["edges"], g["collections"], g["avg_pheromone"]) == (6, 6, 1, 1.0)
+    c = stats.collection_stats(stations.catalog, "Station", stations.catalog.edges["LINE"]).first()
+    assert (c["rows"], c["avg_properties"], c["avg_degree"]) == (6, 13 / 6, 5 / 6)
+    assert stats.all_entities(stations.catalog).where("_id = 13").first()["properties"] == {"height": "305", "zone": "3"}
 
 
 def test_foreign_keys(spark):
