@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fernwork.llm.common import BROADCAST_ROWS, ascii_lower, small_join, stored
+from fernwork.llm.common import ascii_lower, small, small_join, stored
 
 #: Characters between words, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,13 +78,13 @@ class Index:
     def exact(self) -> DataFrame:
         """(id, th, hits): the windows' exact matches in each row that has any."""
         met = stored(self.met())
-        starts = small_join(met, self.windows, ["item", "first"], rows=self.n_windows).select("id", "th", F.struct((F.col("start") + F.col("first")).alias("at"), "item", "window").alias("c"))
+        starts = small_join(met, self.windows, ["item", "first"]).select("id", "th", F.struct((F.col("start") + F.col("first")).alias("at"), "item", "window").alias("c"))
         some = stored(starts.where("c.at >= 0").groupBy(F.col("id").alias("k"), F.col("th").alias("h")).agg(F.collect_set("c").alias("c")))
         # only the rows with candidates are shuffled to meet them; their keys are few, or else shuffled as well
         keys = some.select("k", "h")
         same = lambda a, b: a["id"].eqNullSafe(b["k"]) & a["th"].eqNullSafe(b["h"])
         rows = self.rows.select("id", "th", "words")
-        rows = rows.join(F.broadcast(keys) if some.count() <= BROADCAST_ROWS else keys, same(rows, keys), "left_semi")
+        rows = rows.join(F.broadcast(keys) if small(keys) else keys, same(rows, keys), "left_semi")
         both = rows.join(some, same(rows, some)).dropDuplicates(["id", "th"])
         hits = F.filter("c", lambda x: F.slice("words", x["at"] + 1, F.size(x["window"])) == x["window"])
         return both.select("id", "th", hits.alias("hits")).where(F.size("hits") > 0)
@@ -113,7 +113,7 @@ def proximity(docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 3, id_
 def clean(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that hold no window of an item, with all their columns."""
     hits = stored(Index(docs, items, n, id_col, text_col, options.get("item_col", "item_id"), options.get("item_text", "text")).exact().select(F.col("id").alias("__k"), F.col("th").alias("__h")))
-    few = hits.count() <= BROADCAST_ROWS
+    few = small(hits)
     same = docs[id_col].eqNullSafe(hits["__k"]) & F.xxhash64(docs[text_col].cast("string")).eqNullSafe(hits["__h"])
     return docs.join(F.broadcast(hits) if few else hits, same, "left_anti")
 

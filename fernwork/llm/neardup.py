@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernwork.llm.common import BROADCAST_ROWS, ship, small_join, stored
+from fernwork.llm.common import ship, small, small_join, stored
 from fernwork.llm.components import components, relabel
 from fernwork.llm.hashing import mixed, pieces, split_texts, windows, word_hashes
 
@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     inside = stored(members.select("node").distinct())
     sigs = stored(slim.select("node", "least", "h1", "h2", "sig", F.col("n_shingles").alias("n")).join(inside, "node"))
     wanted = stored(sigs.select("least").distinct())
-    few = wanted.count() <= BROADCAST_ROWS
+    few = small(wanted)
     mine = rows.join(F.broadcast(wanted) if few else wanted, rows["id"].eqNullSafe(wanted["least"]), "left_semi")
     sets = stored(full_sets(mine, k).join(sigs.select("node", "n", "h1", "h2"), ["h1", "h2"]).select("node", "n", "shingles").dropDuplicates(["node"]))
     # rows that share an id

@@ -343,3 +343,45 @@ def test_pipeline(spark, tmp_path):
             assert {r["doc_id"] for r in after.collect()} == {r[0] for r in before}
         at = spark.createDataFrame(got, docs.schema) if k < 4 else after
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()) == Counter(r["doc_id"] for r in at.collect())
+
+
+PARTS = ["A first paragraph of the text that says what this is all about, at some length.", "Short.", "The second paragraph goes on with more words and gives the details of the matter, in two sentences. Here is the other.", "And a last one that sums up the whole of it in enough words to be a paragraph."]
+BODY = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in PARTS)
+MENU = "<div><a href=1>Home</a> <a href=2>News</a></div>"
+REMARKS = "<div><div><p>Ann, 3 May</p><p>I think that this is quite right.</p></div><div><p>Bob, 4 May</p><p>No, it isn't, and I can tell you why at length if you want.</p></div><div><p>Cy, 4 May</p><p>Me too.</p></div></div>"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<body>{MENU}<div>{BODY}</div></body>", ["Title", *PARTS]),  # nothing but plain divs
+    (f"<body>{MENU}<div>{BODY}</div>{REMARKS}</body>", ["Title", *PARTS]),
+    (f"<body>{MENU}<div>{BODY}{REMARKS}</div></body>", ["Title", *PARTS]),
+    (f"<body>{MENU}<form action=x><div>{BODY}</div><input></form><div>© me</div></body>", ["Title", *PARTS]),
+    (f"<article><h1>T</h1><p>Short.</p><div class='social'><p>{PARTS[2] * 3}</p></div><p>{PARTS[3]}</p></article>", ["T", "Short.", PARTS[2] * 3, PARTS[3]]),
+    (f"<body><div class='alert-text'>We use cookies here.</div><div>{BODY}</div></body>", ["Title", *PARTS]),
+    (f"<body>{MENU}<main>{BODY}</main><div><p>About us and all.</p></div></body>", ["Title", *PARTS]),
+    (f"<body>{MENU}<div><h1>T</h1><section><h2>One</h2><p>{PARTS[0]}</p><p>Short.</p></section><section><h2>Two</h2><p>{PARTS[2]}</p></section></div><div><a href=x>Next story about things</a></div></body>", ["T", "One", PARTS[0], "Short.", "Two", PARTS[2]]),
+    (f"<table><tr><td><a href=1>Home</a><br><a href=2>News</a></td><td><div>{BODY}</div></td></tr></table>", ["Title", *PARTS]),
+    (f"<body>{MENU}<div><p>{PARTS[0]}</p><ul><li>one</li><li>two</li></ul><blockquote>Short.</blockquote><p>{PARTS[2]}</p></div></body>", [PARTS[0], "one", "two", "Short.", PARTS[2]]),
+    (f"<body>{MENU}<div>{PARTS[0]}<br>{PARTS[2]}</div></body>", [f"{PARTS[0]} {PARTS[2]}"]),
+    (f"<body>{MENU}<footer>© x</footer><nav><p>Way to go</p></nav></body>", []),
+    (f"<div hidden>{BODY}</div><p style='display: none'>x</p><p>{PARTS[0]}</p>", [PARTS[0]]),
+])
+def test_html_layouts(page, want):
+    assert html.main_text(page) == "\n\n".join(want)
+
+
+def test_clusters_decide(monkeypatch):
+    page = f"<body>{MENU}<div class='ad'>Buy this now</div><article>{BODY}</article><footer>The end</footer></body>"
+    text = html.main_text(page)
+    assert text == "\n\n".join(["Title", *PARTS])
+    monkeypatch.setattr(html, "clusters", lambda ratios, scale: np.ones(len(ratios), bool))
+    assert html.main_text(page) != text
+
+
+def test_html_is_linear():
+    import time
+
+    for page in ("<div>x" * 200_000, "<b>" * 100_000 + "</i></x></p>" * 100_000 + "text", "<i><b>" * 50_000 + "</div></i>" * 50_000 + "text", "<li>" * 200_000 + "text", f"<p>{'word ' * 1_000_000}</p>"):
+        begun = time.process_time()
+        assert html.main_text(page)
+        assert time.process_time() - begun < 20
