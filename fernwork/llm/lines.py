@@ -10,7 +10,8 @@ when the lists are few, else shuffled, where adaptive execution splits a hot hos
 
 Defined results: a null text stays null, with 0 lines; an empty text stays empty; null hosts are one host; rows
 are kept one to one, repeated rows included, and each counts as a page; null ids stay null; a share equal to
-the ratio is kept; an empty table gives an empty table; other columns are carried along, whatever their names.
+the ratio is kept; texts of many megabytes are handled whole; an empty table gives an empty table; other columns are
+carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = PAGES) -> D
     """pages (host, text): a row per host that has boilerplate, with the array of its lines' hashes."""
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     lines = pages.select("host", F.explode(F.array_distinct(F.filter(keys(F.col("text")), lambda x: x.isNotNull()))).alias("line")).select("host", "line.a", "line.b")
-    counts = lines.groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1 if least > 1 else F.lit(True))
+    counts = lines.groupBy("host", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.where(F.col("n") > F.lit(least * ratio))  # none below exceeds the ratio on a host that counts
     totals = totals.where(F.col("pages") >= least).withColumnRenamed("host", "of")
     over = counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("pages") * F.lit(ratio))
     return over.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("bad"))

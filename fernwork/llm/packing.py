@@ -4,8 +4,9 @@ Documents become pieces of token ids: a document's ids and one separator; only l
 pieces of `size`. Which pieces go together depends on their lengths alone, so the plan is made from the
 histogram of lengths (at most `size` counts, whatever the corpus holds) and then carried out over all pieces:
 
-1. Lengths over size / LARGE are large. In order of length they are grouped in GROUPS groups of equal
-   cardinality, and each is rounded up to its group's longest: a few sizes remain.
+1. Lengths over size / LARGE are large. In order of length they are grouped in groups of equal cardinality, and each
+   is rounded up to its group's longest: a few sizes remain. GROUPS numbers of groups are tried, as far as that can
+   help, and the plan with the fewest sequences is taken.
 2. The configurations of these sizes are optimised: the linear program over all of them is solved by column
    generation, whose pricing is an unbounded knapsack. Its solution is rounded down; what it leaves over is
    packed best-fit in order of length.
@@ -18,12 +19,14 @@ length; ranks are counted per salted part of a length and added up, so a length
 share is spread over many tasks.
 
 Defined results: a null text counts as empty and becomes a piece that holds the separator alone; null ids stay
-null; repeated rows are packed as often as they occur; ties between pieces of equal length may fall either way,
+null; a text of many megabytes is tokenised whole and cut into as many pieces as it needs; repeated rows are packed as
+often as they occur; ties between pieces of equal length may fall either way,
 but a plan is the same for the same lengths; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,22 +42,30 @@ from pyspark.sql.window import Window
 from fernwork.llm.common import ship, stored
 from fernwork.llm.hashing import pieces as slices
 
-#: Groups of large lengths, and the part of a sequence's size over which a length is large.
-GROUPS, LARGE = 24, 8
+#: Numbers of groups of large lengths that are tried, and the part of a sequence's size over which a length is large.
+GROUPS, LARGE = (24, 64, 160), 8
+#: Steps of column generation at most, the gain below which it ends where there are many groups, and how near to the
+#: least possible number of sequences a plan needs no better one.
+STEPS, NEAR, ENOUGH = 3000, 0.0005, 0.001
 #: Pieces of one length that are ranked in one task, at about which another part of that length is opened.
 RANKED = 50_000
 #: Entries a worker's cache of encoded words may hold before it starts afresh.
 CACHE = 100_000
 #: Bytes of text encoded at a time.
 SLICE = 8_000_000
+#: What a tokenizer's file says whose texts may be encoded word by word.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 _shared: dict = {}
 
 
 class Encoder:
     """Token ids of texts by way of their chunks between ASCII white space; each different chunk is encoded once.
 
-    Holds for tokenizers whose normalizer and pre-tokenizer never join what white space separates and drop the
-    white space itself. Chunks of ASCII and plain Latin letters, whose lower case is a letter for a letter, are
+    Holds for tokenizers with the KNOWN normalizer and pre-tokenizer, which never join what white space separates and
+    drop the white space itself; with any other, texts are encoded whole. Chunks of ASCII and plain Latin letters, whose lower case is a letter for a letter, are
     cut further, into the words of the pre-tokenizer's pattern, and words that are new go to it together. What a
     chunk consists of is kept in a cache of two generations, so what is in use survives when it is full."""
 
@@ -67,6 +78,11 @@ class Encoder:
 
         self.tokenizer, self.chunks, self.words = Tokenizer.from_str(spec), {}, {}
         self.old_chunks, self.old_words = {}, {}
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        made = json.loads(spec)
+        special = all(t["content"].startswith("<|") and not t["content"].split()[1:] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in made["added_tokens"])
+        self.fast = special and made["model"]["type"] == "BPE" and not made["model"].get("dropout") and all(made[k] == v for k, v in KNOWN.items())
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -105,6 +121,9 @@ class Encoder:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts side by side, `end` after each text, and the texts' offsets."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.fast:
+            lists = [np.array([*self.tokenizer.encode(x, add_special_tokens=False).ids, end], np.uint32) for x in texts.to_pylist()]
+            return np.concatenate([*lists, np.empty(0, np.uint32)]), np.cumsum([0, *map(len, lists)])
         # in texts of plain characters alone, words and runs of punctuation are parted beforehand
         simple = pc.and_(pc.match_substring_regex(texts, self.SIMPLE), pc.invert(pc.match_substring(texts, "<|")))
         parted = pc.replace_substring_regex(pc.utf8_lower(texts), r"([!-/:-@\[-`{-~]+)", r" \1 ")
@@ -149,35 +168,41 @@ def tokenised(docs: DataFrame, spec: str, size: int, end: int) -> DataFrame:
 
 
 def best_value(value: np.ndarray, sizes: list[int], size: int) -> tuple[float, list[int]]:
-    """Unbounded knapsack: the configuration of sizes within `size` that is worth most."""
-    best, last = np.zeros(size + 1), np.full(size + 1, -1, np.int64)
-    s, smallest = np.array(sizes), min(sizes)
-    for room in range(smallest, size + 1):
-        fit = s <= room
-        worth = best[room - s[fit]] + value[fit]
-        k = int(np.argmax(worth))
-        best[room], last[room] = (worth[k], np.flatnonzero(fit)[k]) if worth[k] > best[room - 1] + 1e-12 else (best[room - 1], -1)
+    """Unbounded knapsack: the configuration of sizes within `size` that is worth most. One size is added at a time, in
+    each of the numbers that fit; large sizes fit few times."""
+    best = np.zeros(size + 1)
+    taken = np.zeros((len(sizes), size + 1), np.int16)
+    for k, (s, v) in enumerate(zip(sizes, value.tolist(), strict=True)):
+        if v <= 0:
+            continue
+        new = best.copy()
+        for many in range(1, size // s + 1):
+            worth = best[: size + 1 - many * s] + many * v
+            up = worth > new[many * s :] + 1e-12
+            new[many * s :][up] = worth[up]
+            taken[k, many * s :][up] = many
+        best = new
     counts, room = [0] * len(sizes), size
-    while room >= smallest:
-        if last[room] < 0:
-            room -= 1
-        else:
-            counts[last[room]] += 1
-            room -= sizes[last[room]]
+    for k in range(len(sizes) - 1, -1, -1):
+        counts[k] = int(taken[k, room])
+        room -= counts[k] * sizes[k]
     return float(best[size]), counts
 
 
 def configurations(sizes: list[int], demand: list[int], size: int) -> list[tuple[list[int], int]]:
     """Configurations with how often each is used: the linear program's solution, rounded down."""
     n = len(sizes)
+    inverse = np.diag([1.0 / (size // s) for s in sizes])
     columns = np.diag([float(size // s) for s in sizes])
     x = np.array(demand, float) / np.diag(columns)
-    for _ in range(400):
-        price = np.linalg.solve(columns.T, np.ones(n))
+    for turn in range(STEPS):
+        if turn % 50 == 49:  # rounding errors of the updates
+            inverse = np.linalg.inv(columns)
+        price = inverse.sum(axis=0)
         worth, counts = best_value(np.maximum(price, 0), sizes, size)
-        if worth <= 1 + 1e-7:
-            break
-        way = np.linalg.solve(columns, np.array(counts, float))
+        if worth <= 1 + 1e-7 or len(sizes) > GROUPS[0] and x.sum() * (1 - 1 / worth) < x.sum() * NEAR:
+            break  # the bound x / worth shows that there is little left to gain
+        way = inverse @ np.array(counts, float)
         up = way > 1e-9
         if not up.any():
             break
@@ -187,14 +212,17 @@ def configurations(sizes: list[int], demand: list[int], size: int) -> list[tuple
         x = np.maximum(x - ratio[out] * way, 0)
         x[out] = ratio[out]
         columns[:, out] = counts
+        row = inverse[out] / way[out]
+        inverse -= np.outer(way, row)
+        inverse[out] = row
     return [([round(c) for c in columns[:, k]], int(x[k] + 1e-9)) for k in range(n) if int(x[k] + 1e-9)]
 
 
 class Plan:
     """Places of pieces by (length, rank): rows (length, first rank, rank after the last, first sequence, pieces a sequence, offset)."""
 
-    def __init__(self, counts: dict[int, int], size: int):
-        self.size, self.rows, self.sequences = size, [], 0
+    def __init__(self, counts: dict[int, int], size: int, groups: int = GROUPS[0]):
+        self.size, self.groups, self.rows, self.sequences = size, groups, [], 0
         self.left, self.used = dict(counts), dict.fromkeys(counts, 0)
         self.open: dict[int, list[list[int]]] = {}  # room left: classes of [first sequence, sequences]
         self.large()
@@ -213,7 +241,7 @@ class Plan:
         if not total:
             return
         # equal cardinality; a group holds runs of lengths, longest first, and a length may be split over groups
-        groups, room, share = [], 0, -(-total // min(GROUPS, total))
+        groups, room, share = [], 0, -(-total // min(self.groups, total))
         for n in lengths:
             c = self.left[n]
             while c:
@@ -297,6 +325,20 @@ class Plan:
             self.open.setdefault(room, []).append([base, many])
 
 
+def best_plan(counts: dict[int, int], size: int) -> Plan:
+    """The plan with the fewest sequences among numbers of groups: few ones leave room by rounding that small pieces
+    fill, many ones leave little where there are few small pieces. Ends once a plan is as good as the bound, nearly."""
+    least = sum(n * c for n, c in counts.items()) / size
+    best = None
+    for groups in GROUPS:
+        plan = Plan(dict(counts), size, groups)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences <= least * (1 + ENOUGH) + 1:
+            break
+    return best
+
+
 def placed(ranked: DataFrame, plan: Plan) -> DataFrame:
     """Adds sequence_id and offset to rows with length and rank."""
     rows = np.array(sorted(plan.rows), np.int64).reshape(-1, 6)
@@ -330,4 +372,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, id_col
     before = sums.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     local = salted.withColumn("local", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)))
     ranked = local.join(before, ["length", "salt"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("local") - 1).alias("rank"))
-    return placed(ranked, Plan(counts, size)).withColumnRenamed("id", id_col)
+    return placed(ranked, best_plan(counts, size)).withColumnRenamed("id", id_col)

@@ -2,18 +2,21 @@
 
 Each text gets counts (words, their characters, symbols, repeated lines, words in repeated 3-word windows).
 A document fails the base rules if it has few words or mostly repeated ones. Beyond that each rule compares a
-rate with a cutoff chosen from labelled documents: per stratum, the cutoffs of a rule are tested from the
-loosest to the strictest, and the strictest one is taken for which, and for all looser ones, the exact
-binomial tail P(Bin(n, risk / rules) <= rejected) is at most miss / (strata x rules). n counts the labelled
-good documents of the stratum that pass the base rules, rejected those above the cutoff. Testing in a fixed
-order needs no further correction, the division by strata x rules is Bonferroni's; so with probability
-1 - miss no stratum loses more than the share `risk` of its good documents. A stratum with too few labels
-to prove this gets no cutoff, and its documents are kept unless they fail the base rules.
+rate with a cutoff chosen from labelled documents. The cutoffs form one chain of filters, fixed beforehand: first the
+loosest cutoff of every rule, then the second of every rule, and so on; a filter rejects what exceeds any cutoff up to
+its step. Per stratum the filters are tested in that order, each on all labelled good documents of the stratum that
+pass the base rules: a step is proved if the exact binomial tail P(Bin(n, risk) <= rejected) is at most miss / strata,
+and the first step that isn't ends the chain. Testing a fixed sequence needs no correction for its length, and whole
+filters are tested, so none for the number of rules; the division by the strata is Bonferroni's. So with probability
+1 - miss no stratum loses more than the share `risk` of its good documents. A stratum with too few labels to prove
+this (about 230 good ones without a rejection at the default risk and miss) gets no cutoff, and its documents are kept
+unless they fail the base rules. All labelled documents are counted, whatever their number; a document's id is one
+trial, which counts as rejected if any of the rows that share it is.
 
 Windows are compared by 64-bit hashes inside one text.
 
 Defined results: null text counts as no words (base_failed, not kept); blank and empty texts likewise; rows are
-kept one to one, repeated rows included; null ids stay null; labels with a null id or quality are ignored, and
+kept one to one, repeated rows included; null ids stay null; texts of many megabytes are measured whole; labels with a null id or quality are ignored, and
 where labels of one id differ the lowest counts; a stratum that isn't listed, or null, is "other"; a value equal
 to a cutoff is kept; empty tables give an empty result or no cutoffs; other columns are ignored.
 """
@@ -79,35 +82,49 @@ def rates(m: Column) -> dict[str, Column]:
     return {"symbols_per_word": per("n_symbols", "n_words"), "repeated_line_share": per("n_dup_lines", "n_lines"), "repeated_word_share": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words"), "marks_per_word": per("n_marks", "n_words")}
 
 
+def chain() -> list[tuple[str, float]]:
+    """The steps (rule, cutoff) in the order of testing."""
+    return [(r, cs[k]) for k in range(max(map(len, RULES.values()))) for r, cs in RULES.items() if k < len(cs)]
+
+
+def first_step(m: Column) -> Column:
+    """The first step of the chain that rejects a text with counts m; the number of steps if none does."""
+    values, steps = rates(m), chain()
+    return F.least(*[F.when(values[r] > c, F.lit(k)).otherwise(F.lit(len(steps))) for k, (r, c) in enumerate(steps)])
+
+
 def binomial_tail(k: int, n: int, p: float) -> float:
     """P(Bin(n, p) <= k)."""
     logs = (math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1))
     return min(1.0, math.fsum(map(math.exp, logs)))
 
 
+def proved(by_step: dict[int, int], risk: float, most: float) -> dict[str, float]:
+    """The cutoffs proved by how many trials each step is the first to reject."""
+    n, rejected, out = sum(by_step.values()), 0, {}
+    for k, (r, c) in enumerate(chain()):
+        rejected += by_step.get(k, 0)
+        # above the mean the tail is a half at least
+        if not n or rejected > n * risk or binomial_tail(rejected, n, risk) > most:
+            break
+        out[r] = c
+    return out
+
+
 def known(stratum: Column, strata: tuple[str, ...]) -> Column:
     return F.when(stratum.isin(*strata), stratum).otherwise("other") if strata else F.lit("all")
 
 
 def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.02, miss: float = 0.05, strata: tuple[str, ...] = STRATA, id_col: str = "doc_id", text_col: str = "text", strata_col: str | None = "lang") -> dict[str, dict[str, float]]:
-    """Per stratum the cutoff of each rule that could be proved. Collects one row of counts per listed stratum."""
+    """Per stratum the cutoff of each rule that could be proved. Collects a count per listed stratum and step."""
     good = labels.where(labels[id_col].isNotNull() & labels["quality"].isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
     held = measured(small_join(docs, good.where("quality = 1").select(id_col), [id_col], "left_semi"), id_col, text_col, strata_col)
-    fit = F.col("fit")
-    values = rates(F.col("m"))
-    many = [F.count(F.when(fit & (values[r] > c), 1)).alias(f"{r}:{k}") for r, cs in RULES.items() for k, c in enumerate(cs)]
-    groups, out = len(strata) + 1, {}
-    held = held.select(known(F.col("stratum"), strata).alias("stratum"), "m", (~base_failed(F.col("m"))).alias("fit"))
-    for row in held.groupBy("stratum").agg(F.count(F.when(fit, 1)).alias("n"), *many).collect():
-        got = out[row["stratum"]] = {}
-        for r, cs in RULES.items():
-            for k, c in enumerate(cs):
-                rejected, p = row[f"{r}:{k}"], risk / len(RULES)
-                # above the mean the tail is a half at least
-                if rejected > row["n"] * p or binomial_tail(rejected, row["n"], p) > miss / (groups * len(RULES)):
-                    break
-                got[r] = c
-    return out
+    trials = held.where(~base_failed(F.col("m"))).select(F.col(id_col).alias("id"), known(F.col("stratum"), strata).alias("stratum"), first_step(F.col("m")).alias("step"))
+    trials = trials.groupBy("id", "stratum").agg(F.min("step").alias("step"))
+    by: dict[str, dict[int, int]] = {}
+    for row in trials.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n")).collect():
+        by.setdefault(row["stratum"], {})[row["step"]] = row["n"]
+    return {s: proved(steps, risk, miss / (len(strata) + 1)) for s, steps in by.items()}
 
 
 def verdict(m: Column, stratum: Column, chosen: dict[str, dict[str, float]]) -> Column:
@@ -136,8 +153,8 @@ def keep(docs: DataFrame, labels: DataFrame, strata: tuple[str, ...] = STRATA, i
 
 def sql(risk: float = 0.02, miss: float = 0.05) -> str:
     """DuckDB SQL of score over documents and labels."""
-    cuts = ", ".join(f"('{r}', {k}, {c})" for r, cs in RULES.items() for k, c in enumerate(cs))
-    p, most = risk / len(RULES), miss / ((len(STRATA) + 1) * len(RULES))
+    cuts = ", ".join(f"('{r}', {k}, {c})" for k, (r, c) in enumerate(chain()))
+    most = miss / (len(STRATA) + 1)
     space = r"[\x20\x09-\x0D]"
     return rf"""
 WITH d AS (SELECT doc_id, CASE WHEN lang IN {STRATA} THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -150,9 +167,11 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 x AS (SELECT doc_id, stratum, base_failed, unnest(['symbols_per_word', 'repeated_line_share', 'repeated_word_share', 'word_length', 'marks_per_word']) AS r, unnest([n_symbols / nullif(n_words, 0), n_dup_lines / nullif(n_lines, 0), n_repeat_words / nullif(n_words, 0), word_chars / nullif(n_words, 0), n_marks / nullif(n_words, 0)]) AS x FROM b),
 c(r, k, c) AS (VALUES {cuts}),
 y AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-n AS (SELECT stratum, r, k, c, count(*) AS n, count(*) FILTER (x > c) AS rejected FROM x SEMI JOIN y USING (doc_id) JOIN c USING (r) WHERE NOT base_failed GROUP BY ALL),
-q AS (SELECT *, list_sum(list_transform(range(0, rejected + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {most} AS good FROM n),
-o AS (SELECT stratum, r, min(c) AS c FROM (SELECT *, bool_and(good) OVER (PARTITION BY stratum, r ORDER BY k) AS proved FROM q) WHERE proved GROUP BY ALL),
+t AS (SELECT b.doc_id, stratum, min(coalesce(k, {len(chain())})) AS step FROM b SEMI JOIN y USING (doc_id) LEFT JOIN (SELECT x.doc_id, min(k) AS k FROM x JOIN c USING (r) WHERE x > CAST(c AS DOUBLE) GROUP BY x.doc_id) USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+n AS (SELECT stratum, count(*) AS n FROM t GROUP BY stratum),
+q AS (SELECT stratum, k, r, c, n, (SELECT count(*) FROM t WHERE t.stratum = n.stratum AND step <= k) AS rejected FROM n, c),
+z AS (SELECT *, list_sum(list_transform(range(0, rejected + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) <= {most} AS good FROM q),
+o AS (SELECT stratum, r, min(c) AS c FROM (SELECT *, bool_and(good) OVER (PARTITION BY stratum ORDER BY k) AS proved FROM z) WHERE proved GROUP BY ALL),
 f AS (SELECT DISTINCT doc_id FROM x JOIN o USING (stratum, r) WHERE x > CAST(c AS DOUBLE))
 SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND f.doc_id IS NULL AS kept FROM b LEFT JOIN f USING (doc_id)
 """

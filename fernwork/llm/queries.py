@@ -39,6 +39,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's other kind of matches: windows of benchmark items whose words stand within three words of their place."""
+    return decontam.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -59,5 +64,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_near_duplicates, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_decontamination, op7_html_extraction, op8_lm_scoring, op9_license_scan, op10_substring_dedup)}
-SQL: dict[str, str] = {"op2_near_duplicates": neardup.SQL, "op4_quality_rules": quality.sql(), "op5_line_dedup": lines.SQL, "op6_decontamination": decontam.SQL, "op10_substring_dedup": repeats.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_near_duplicates, op3_token_counts, op4_quality_rules, op5_line_dedup, op6_decontamination, proximity_matches, op7_html_extraction, op8_lm_scoring, op9_license_scan, op10_substring_dedup)}
+SQL: dict[str, str] = {"op2_near_duplicates": neardup.SQL, "op4_quality_rules": quality.sql(), "op5_line_dedup": lines.SQL, "op6_decontamination": decontam.SQL, "proximity_matches": decontam.NEAR_SQL, "op10_substring_dedup": repeats.SQL}

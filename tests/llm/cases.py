@@ -96,7 +96,7 @@ def hits(rows, items, n=10):
     windows = []
     for item, text in items:
         w = cut(text)
-        windows += [(item, w[i : i + n]) for i in range(max(len(w) - n, 0) + 1)] if w and item is not None else []
+        windows += [(item, w[i : i + n]) for i in range(max(len(w) - n, 0) + 1)] if w else []
     out = []
     for r in rows:
         w, places, found = cut(r[1]), set(), set()
@@ -104,7 +104,7 @@ def hits(rows, items, n=10):
             for i in range(len(w) - len(x) + 1):
                 if w[i : i + len(x)] == x:
                     places |= set(range(i, i + len(x)))
-                    found.add(str(item))
+                    found |= set() if item is None else {str(item)}
         out.append((len(w), places, found))
     return out
 
@@ -118,3 +118,20 @@ def measures(t):
             covered |= {i, i + 1, i + 2}
     lines = [x for x in (t or "").split("\n") if words(x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def near(rows, items, n=10, slop=3):
+    """Per (id, item): the windows of which an occurrence of the first word has all words within slop of their places."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    out = Counter()
+    for key, text in {(r[0], r[1]) for r in rows}:
+        w = cut(text)
+        for item, t in items:
+            x = cut(t)
+            many = 0
+            for first in range(max(len(x) - n, 0) + 1) if x else ():
+                win = x[first : first + n]
+                many += any(w[c] == win[0] and all(win[k] in w[max(c + k - slop, 0) : max(c + k + slop + 1, 0)] for k in range(len(win))) for c in range(len(w)))
+            if many:
+                out[(key, None if item is None else str(item), many)] += 1
+    return out

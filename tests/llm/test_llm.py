@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import math
 import random
@@ -8,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from cases import SCHEMA, groups, hits, lower, made, measures, repeats, words
+from cases import SCHEMA, groups, hits, lower, made, measures, near, repeats, words
 
 from fernwork.llm import components, decontam, html, licenses, lines, lm, neardup, packing, quality, repeats as rep, tokens
 
@@ -129,10 +130,43 @@ def test_quality_risk(spark):
     good = [i for i, _, _ in new if i % 4]
     assert sum(i not in kept for i in good) <= 0.05 * len(good) and sum(i in kept for i, _, _ in new if i % 4 == 0) < 0.1 * 500
     assert quality.cutoffs(docs.limit(200), labels, risk=0.05) in ({}, {"en": {}, "fr": {}}, {"en": {}}, {"fr": {}})
+    assert quality.cutoffs(docs.union(docs), labels, risk=0.05) == chosen  # rows that share an id are one trial
     exact = sum(math.comb(300, k) * 0.02**k * 0.98 ** (300 - k) for k in range(3))
     assert abs(quality.binomial_tail(2, 300, 0.02) - exact) < 1e-12
 
 
+def test_quality_chain():
+    """The chain by hand: it ends at the first filter that too many good documents meet."""
+    steps = quality.chain()
+    assert steps[0] == ("symbols_per_word", 2.0) and steps[5] == ("symbols_per_word", 1.5) and len(steps) == sum(map(len, quality.RULES.values()))
+    last = len(steps)
+    assert quality.proved({last: 227}, 0.02, 0.01) == {} and quality.proved({}, 0.02, 0.01) == {}  # 0.98 ** 227 > 0.01
+    assert quality.proved({last: 228}, 0.02, 0.01) == {r: cs[-1] for r, cs in quality.RULES.items()}
+    assert quality.proved({last: 400, 7: 3, 9: 2}, 0.02, 0.01) == {"symbols_per_word": 1.5, "repeated_line_share": 0.6, "repeated_word_share": 0.5, "word_length": 24.0, "marks_per_word": 2.0}  # P(Bin(405, 0.02) <= 3) > 0.01
+
+
+def test_quality_sql_with_cutoffs(spark, tmp_path):
+    """The SQL against the operator where cutoffs are proved, in one stratum and not in another."""
+    import duckdb
+
+    rng = random.Random(8)
+    data = []
+    for i in range(700):
+        w = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        if i % 5 == 0:
+            w = [rng.choice(["#%$", "x!!", ""]) + x for x in w]
+        data.append((i, " ".join(w), "en" if i % 4 else "fr"))
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(600)], "doc_id bigint, quality int")
+    docs.coalesce(1).write.parquet(str(tmp_path / "d")), labels.coalesce(1).write.parquet(str(tmp_path / "l"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'; CREATE VIEW labels AS SELECT * FROM '{tmp_path}/l/*.parquet'")
+    assert set(quality.cutoffs(docs, labels)["en"]) and not quality.cutoffs(docs, labels)["fr"]
+    got, names = quality.score(docs, labels), "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"
+    assert Counter(map(tuple, got.collect())) == Counter(c.sql(f"SELECT {names} FROM ({quality.sql()})").fetchall())
+    assert got.where("NOT kept AND NOT base_failed").count() > 50
+
+
 def test_lines(spark, docs, none, rows):
     page = lambda i: f" menu \n\nbody {i}\nmenu\t\nshared" if i < 12 else f"menu\nbody {i}"
     data = [(i, page(i), "h" if i < 12 else None if i < 14 else "few", 5) for i in range(20)] + [(99, None, "h", None), (98, "", "h", 0)]
@@ -159,11 +193,18 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.contamination(none, bench).count() == 0 and decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, "alpha x beta y gamma delta epsilon"), (3, "epsilon far far far far far far far far alpha beta gamma delta")], "doc_id bigint, text string")
-    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id bigint, text string")
-    assert {r["doc_id"] for r in decontam.proximity(docs, bench, slop=3).collect()} >= {1, 2}
-    assert {r["doc_id"] for r in decontam.contamination(docs, bench).where("contaminated").collect()} == {1}
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_proximity(spark, docs, rows, none, slop):
+    some = [(1, "alpha beta gamma delta epsilon"), (2, "alpha x beta y gamma delta epsilon"), (3, "epsilon far far far far far far far far alpha beta gamma delta"), (4, "alpha x x x x x beta gamma"), (5, "gamma beta alpha"), (None, "alpha gamma beta"), (6, "beta gamma alpha alpha"), (7, None)]
+    items = [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta gamma"), (None, "beta gamma")]
+    bench = lambda x: spark.createDataFrame(x, "item_id bigint, text string")
+    got = table(decontam.proximity(spark.createDataFrame(some, "doc_id bigint, text string"), bench(items), slop=slop), "doc_id", "item_id", "n_windows")
+    assert got == near(some, items, slop=slop)
+    longer = [*items, (7, " ".join(words(rows[5][1])[:23])), (9, rows[11][1][:200])]
+    assert table(decontam.proximity(docs, bench(longer), slop=slop), "doc_id", "item_id", "n_windows") == near(rows, longer, slop=slop)
+    assert decontam.proximity(none, bench(items)).count() == 0
+    if slop == 0:
+        assert {r["doc_id"] for r in decontam.contamination(spark.createDataFrame(some, "doc_id bigint, text string"), bench(items[:1])).where("contaminated").collect()} == {1}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1><p>Slogan of the site</p></header>
@@ -311,6 +352,41 @@ def test_plan(seed):
     assert check_packing(rows, 100) == plan.sequences
 
 
+def best_fit(counts, size):
+    """Sequences that plain best fit, longest first, opens."""
+    rooms, many = [], 0
+    for n in sorted(counts, reverse=True):
+        for _ in range(counts[n]):
+            at = bisect.bisect_left(rooms, n)
+            many += at == len(rooms)
+            room = (rooms.pop(at) if at < len(rooms) else size) - n
+            if room:
+                bisect.insort(rooms, room)
+    return many
+
+
+@pytest.mark.parametrize("spread", [(1, 4096), (1000, 2500), (600, 1400), (2000, 4096), (1, 300)])
+def test_few_sequences(spread):
+    rng = random.Random(1)
+    counts = Counter(rng.randint(*spread) for _ in range(20_000))
+    least = max(-(-sum(n * c for n, c in counts.items()) // 4096), best_fit(counts, 4096))
+    assert packing.best_plan(counts, 4096).sequences <= least * 1.01
+
+
+def test_other_tokenizer(spark):
+    """Whose texts can't be encoded word by word."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["", "two  words \n and", " 'S x's", "Ünï 漢字 <|endoftext|>"]
+    encoder = packing.Encoder(open(path).read())
+    ids, cut = encoder.encode(pa.array([*texts, None]), 1)
+    for k, x in enumerate([*texts, ""]):
+        assert ids[cut[k] : cut[k + 1]].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
+    assert not encoder.fast and packing.Encoder(open(public_tokenizers.path("word_bpe_49k.json")).read()).fast
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against the brute-force version of what it keeps."""
     import corpus_pipeline
