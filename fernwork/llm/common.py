@@ -103,6 +103,14 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(right) if few else right, on, how)
 
 
+def whole_ids(docs: DataFrame, id_col: str) -> Column:
+    """The ids as long numbers; an error for ids of another type, whose order and conversion aren't defined."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"{id_col} must hold whole numbers, not {kind.simpleString()}")
+    return docs[id_col].cast("long")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(c, _UPPER, _LOWER)

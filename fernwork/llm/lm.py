@@ -15,12 +15,14 @@ Training documents are those whose id, as text, has a crc32 that isn't `held` mo
   so the probabilities of all tokens after any context sum to one.
 
 Counts of the TOP most frequent words, about, travel to the workers; the other words of a text meet their counts
-in a shuffle by word. Parameters are averaged in a shuffle by their place.
+in a shuffle by word. Every task goes over its texts the same number of times, whatever their number. Its parameters
+are packed in one row, and rows are added up in a tree of tasks. As a task draws its own noise, scores depend on how the
+texts are partitioned, slightly.
 
 Defined results: null, empty and blank texts are one token, the end; a null id counts as the empty text for the
 split; rows are kept one to one, repeated rows included; with no training documents every class is equally likely
 and counts are 0; ties in frequency are broken by hash; an empty table gives an empty table; other columns are
-ignored. Words are told apart by 64-bit hashes.
+ignored, also those named like results; texts of many megabytes are read whole. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ from fernwork.llm.common import ship, stored
 from fernwork.llm.hashing import encoded_words, pieces, word_hashes
 
 CLASSES, OWN, SIZE = 256, 160, 24
-#: Words whose counts are sent to workers, at most; minibatch, noise samples of a batch, rounds, and batches that a task trains at least.
-TOP, BATCH, NOISE, ROUNDS, BATCHES = 200_000, 8192, 128, 2, 100
+#: Words whose counts are sent to workers, at most; minibatch, noise samples of a batch, rounds, passes over the texts in a round.
+TOP, BATCH, NOISE, ROUNDS, EPOCHS = 200_000, 2048, 128, 2, 1
+#: Tasks' parameters that are added up by one task.
+FAN = 64
 #: Bytes of text handled at a time.
 SLICE = 8_000_000
 END = 0
@@ -151,8 +155,20 @@ def parts_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return p[:a].reshape(CLASSES, SIZE), p[a : 2 * a].reshape(CLASSES, SIZE), p[2 * a : 2 * a + 2 * SIZE].reshape(2, SIZE), p[2 * a + 2 * SIZE :]
 
 
+_COLUMNS = np.arange(SIZE)
+
+
 def scattered(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(rows, values[:, k], CLASSES) for k in range(values.shape[1])], axis=1).astype(np.float32)
+    """The values' sums by row."""
+    return np.bincount((rows[:, None] * SIZE + _COLUMNS).ravel(), values.ravel(), CLASSES * SIZE).reshape(CLASSES, SIZE).astype(np.float32)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; far negative values overflow to 0."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -162,7 +178,6 @@ class Trainer:
         self.p, self.square = p.copy(), np.full(len(p), 1e-3, np.float32)
         self.random, self.share = np.random.default_rng(seed), share
         self.offset = (np.log(NOISE) + np.log(share)).astype(np.float32)
-        self.batches = 0
 
     def batch(self, c2: np.ndarray, c1: np.ndarray, w: np.ndarray) -> None:
         q, r, pos, b = parts_of(self.p)
@@ -171,11 +186,13 @@ class Trainer:
         noise = self.random.choice(CLASSES, NOISE, p=self.share)
         q1, q2 = q[c1], q[c2]
         context = q1 * pos[0] + q2 * pos[1]
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         rw = r[w]
         good = sigmoid(np.einsum("ij,ij->i", context, rw) + b[w] - self.offset[w]) - 1
-        bad = sigmoid(context @ r[noise].T + b[noise] - self.offset[noise])
-        back = good[:, None] * rw + bad @ r[noise]
+        rn = r[noise]
+        bad = context @ rn.T
+        bad += b[noise] - self.offset[noise]
+        bad = sigmoid(bad)
+        back = good[:, None] * rw + bad @ rn
         dr += scattered(w, good[:, None] * context)
         np.add.at(dr, noise, bad.T @ context)
         db += np.bincount(w, good, CLASSES).astype(np.float32)
@@ -185,7 +202,6 @@ class Trainer:
         grad /= len(w)
         self.square += grad * grad
         self.p -= 0.1 * grad / np.sqrt(self.square)
-        self.batches += 1
 
     def learn(self, classes: np.ndarray, real: np.ndarray) -> int:
         at = np.flatnonzero(real)
@@ -206,25 +222,48 @@ def trained(rows: DataFrame, v: Vocabulary) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            trainer, count, kept = Trainer(sent.value, share, 1000 * TaskContext.get().partitionId() + turn), 0, []
+            trainer, count = Trainer(sent.value, share, 1000 * TaskContext.get().partitionId() + turn), 0
             for part in pieces(batches, "classes", SLICE // 8):
                 flat, real, _ = in_line(part.column("classes"))
-                count += trainer.learn(flat, real)
-                if trainer.batches < BATCHES:
-                    kept.append((flat, real))
-            while count and trainer.batches < BATCHES:  # little data is gone through again
-                for flat, real in kept:
-                    trainer.learn(flat, real)
+                for _ in range(EPOCHS):
+                    many = trainer.learn(flat, real)
+                count += many
             if count:
-                yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([trainer.p.astype(np.float64)], pa.list_(pa.float64()))], names=["tokens", "p"])
-
-        tasks = rows.select("classes").mapInArrow(run, "tokens bigint, p array<double>").select("tokens", F.posexplode("p").alias("k", "x"))
-        mean = tasks.groupBy("k").agg((F.sum(F.col("x") * F.col("tokens")) / F.sum("tokens")).alias("x")).collect()  # one row a parameter
-        for row in mean:
-            p[row["k"]] = row["x"]
+                yield summed([(count, trainer.p.astype(np.float64) * count)], TaskContext.get().partitionId())
+
+        sums = rows.select("classes").mapInArrow(run, SUMS)
+        tasks = 1 + (rows.agg(F.max(F.spark_partition_id())).first()[0] or 0)
+        # the tasks' vectors are added up as they are, in a tree of FAN branches, so neither a task nor the driver gets many
+        while tasks > FAN:
+            tasks = -(-tasks // FAN)
+            sums = sums.repartition(tasks, "task").mapInArrow(added, SUMS)
+        got = sums.collect()
+        if got:
+            p = (sum(np.frombuffer(r["p"]) for r in got) / sum(r["tokens"] for r in got)).astype(np.float32)
     return p
 
 
+#: Rows of summed parameters: whose task's, of how many tokens, and the parameters times the tokens as packed doubles.
+SUMS = "task int, tokens bigint, p binary"
+
+
+def summed(parts: list[tuple[int, np.ndarray]], task: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([sum(n for n, _ in parts)], pa.int64()), pa.array([sum(x for _, x in parts).tobytes()], pa.binary())], names=["task", "tokens", "p"])
+
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a task as one."""
+    from pyspark import TaskContext
+
+    total, many = None, 0
+    for batch in batches:
+        for n, x in zip(batch.column("tokens").to_pylist(), batch.column("p").to_pylist(), strict=True):
+            x = np.frombuffer(x)
+            total, many = x if total is None else total + x, many + n
+    if many:
+        yield summed([(many, total)], TaskContext.get().partitionId())
+
+
 def log_table(p: np.ndarray) -> np.ndarray:
     """log10 probability of each class after each pair of classes, as [older * CLASSES + newer, class]."""
     q, r, pos, b = parts_of(p)

@@ -21,7 +21,11 @@ hub's shingles a pair shares at most as many as either of the two has, and a lin
 Defined results: texts of fewer words than a shingle are one shingle of all their words; null, empty and blank
 texts have none and are linked with nothing; rows that share an id count as linked; a row with a null id has no
 component unless an equal set or a link gives it one, and isn't kept; equal texts are ties that the smallest
-id wins; an empty table gives an empty table; other columns are ignored.
+id wins; texts of many megabytes are read whole; an empty table gives an empty table; other columns are ignored, also
+those named like results; ids that aren't whole numbers are refused.
+
+Sets are compared by 64-bit hashes of their shingles, and whole sets by 128 bits: two different shingles of a pair are
+taken for one with a chance of about 5e-20.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernwork.llm.common import ship, small, small_join, stored
+from fernwork.llm.common import ship, small, small_join, stored, whole_ids
 from fernwork.llm.components import components, relabel
 from fernwork.llm.hashing import mixed, pieces, split_texts, windows, word_hashes
 
@@ -161,7 +165,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id that can be reached), kept (id = component_id)."""
     ship(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(whole_ids(docs, id_col).alias("id"), docs[text_col].cast("string").alias("text"))
     all_rows = stored(signed(rows, k))
     some = all_rows.where("n_shingles > 0")
     classes = stored(some.groupBy("h1", "h2").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))

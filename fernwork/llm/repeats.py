@@ -17,7 +17,7 @@ either has a bounded share of the data. Exact copies of a text are settled by th
 Defined results: null and blank texts have no words; texts under `length` words lose nothing; a null id is
 neither smaller nor larger than another, so its row loses nothing and gives nothing; rows that share an id
 don't affect each other, and each input row has its own result row; an empty table gives an empty table;
-other columns are ignored.
+other columns are ignored, also those named like results; ids that aren't whole numbers are refused.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernwork.llm.common import ship, small_join, stored
+from fernwork.llm.common import ship, small_join, stored, whole_ids
 from fernwork.llm.hashing import pieces, sliding_min, split_texts, windows, word_hashes
 
 #: Words in a block of documents, and window hashes in a bucket, at about which a further one is opened.
@@ -189,7 +189,7 @@ def removals(block: Block, h: np.ndarray, g: np.ndarray, low: np.ndarray) -> pa.
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 (of the kept words, joined by a space)."""
     ship(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(whole_ids(docs, id_col).alias("id"), docs[text_col].cast("string").alias("text"))
     all_rows = stored(summary(rows, length))
     first = all_rows.where((F.col("n_words") >= length) & F.col("id").isNotNull()).groupBy("h1", "h2").agg(F.min("id").alias("first"))
     first = stored(first)

@@ -243,7 +243,8 @@ def test_language_model(docs, rows, none):
         base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t)
         assert any(x["held_out"] == held(r[0]) and x["n_tokens"] == len(t) and x["n_known"] == sum(count[w] > 0 for w in t) and x["train_tokens"] == n and math.isclose(x["base_score"], base, rel_tol=1e-6) and x["score"] < 0 for x in got[r[0]])
     test = [x for xs in got.values() for x in xs if x["held_out"]]
-    assert sum(x["score"] for x in test) > sum(x["base_score"] for x in test) * 1.02
+    # a hundred texts: no worse than frequencies; what more data give is tested on the registered query
+    assert sum(x["score"] for x in test) > sum(x["base_score"] for x in test) * 0.99
     assert lm.score(none).count() == 0
 
 
@@ -389,6 +390,8 @@ def test_other_tokenizer(spark):
 
 def test_pipeline(spark, tmp_path):
     """Each stage against the brute-force version of what it keeps."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     rows = [r[:5] for r in made(9, 80)]
@@ -409,14 +412,27 @@ def test_pipeline(spark, tmp_path):
             ok = lambda r: (m := measures(r[1]))[0] >= 50 and 100 * m[4] <= 50 * m[0]
             assert Counter(got) == Counter(r for r in before if ok(r))
         elif k == 1:
-            assert len(got) == len(before) and all(r[4] == len(r[1]) for r in got)
+            pages = Counter(r[3] for r in before)
+            lines_of = lambda t: {x.strip(" \t\n\x0b\x0c\r") for x in t.split("\n")} - {""}
+            held = Counter((r[3], x) for r in before for x in lines_of(r[1]))
+            bad = {k for k, c in held.items() if pages[k[0]] >= 10 and c > 0.1 * pages[k[0]]}
+            cut = lambda r: "\n".join(x for x in r[1].split("\n") if (r[3], x.strip(" \t\n\x0b\x0c\r")) not in bad)
+            assert Counter(got) == Counter((*r[:1], cut(r), *r[2:4], len(cut(r))) for r in before)
         elif k == 2:
             kept = {r[0] for r, (_, c) in zip(before, groups(before, 5), strict=True) if r[0] is not None and r[0] == c}
             assert Counter(r[0] for r in got if r[0] is not None) == Counter(kept)
+            order = lambda r: tuple((x is not None, x) for x in r)
+            assert all(r == min((x for x in before if x[0] == r[0]), key=order) for r in got if r[0] is not None)
         elif k == 3:
             assert Counter(got) == Counter(r for r, (_, places, _) in zip(before, hits(before, items), strict=True) if not places)
         else:
-            assert {r["doc_id"] for r in after.collect()} == {r[0] for r in before}
+            pieces, many = after.collect(), Counter()
+            check_packing(pieces, 4096)
+            t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+            for r in before:
+                ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 1]
+                many.update((r[0], s // 4096, s, zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())) for s in range(0, len(ids), 4096))
+            assert Counter((r["doc_id"], r["piece"], r["start"], r["ids_crc32"]) for r in pieces) == many
         at = spark.createDataFrame(got, docs.schema) if k < 4 else after
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()) == Counter(r["doc_id"] for r in at.collect())
 
@@ -461,3 +477,39 @@ def test_html_is_linear():
         begun = time.process_time()
         assert html.main_text(page)
         assert time.process_time() - begun < 20
+
+
+@pytest.mark.parametrize("f", [neardup.near_duplicates, rep.remove_repeats])
+def test_ids_that_are_no_numbers(spark, f):
+    with pytest.raises(ValueError, match="whole numbers"):
+        f(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_release_deletes_its_own_tables_only(spark):
+    from fernwork.llm import common
+    from fernwork.session import Database
+
+    db = Database(spark)
+    db.catalog.add("T", spark.createDataFrame([(1, 0)], "id bigint, x bigint"), "id")
+    for _ in range(17):
+        db.session().execute("UPDATE T SET x = x + 1")
+    mine = common.stored(spark.range(3))
+    common.release(spark)
+    assert db.session().execute("FROM T SELECT x").first()[0] == 17
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        mine.collect()
+
+
+def test_clashing_columns(spark, rows):
+    """Every operator ignores columns named like its results and its own steps'."""
+    names = ["piece", "start", "length", "offset", "sequence_id", "n_tokens", "n_lines", "host", "row", "bad", "score", "id", "words", "th", "k", "h", "component_id", "m", "stratum", "node", "h1"]
+    plain = spark.createDataFrame([r[:5] for r in rows[:25]], ", ".join(SCHEMA.split(", ")[:5]))
+    odd = plain.selectExpr("*", *(f"{k} AS {c}" for k, c in enumerate(names)))
+    bench = spark.createDataFrame([(9, rows[11][1][:300])], "item_id bigint, text string").selectExpr("*", "1 AS item", "2 AS first", "3 AS term")
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int").selectExpr("*", "1 AS n", "2 AS text")
+    path = public_tokenizers.path
+    for f in (
+        lambda d: packing.pack(d, path("word_bpe_49k.json"), 256).select("doc_id", "piece", "length", "ids_crc32"), lambda d: neardup.near_duplicates(d), lambda d: tokens.count_tokens(d, path("piece_bpe_32k.model")), lambda d: quality.score(d, labels), lambda d: lines.drop_boilerplate(d),
+        lambda d: decontam.contamination(d, bench), lambda d: lm.score(d).select("doc_id", "n_tokens", "n_known"), lambda d: rep.remove_repeats(d), lambda d: licenses.scan(d, "source", id_col="doc_id").select("doc_id", "licence", "found"),
+    ):
+        assert Counter(map(tuple, f(odd).collect())) == Counter(map(tuple, f(plain).collect()))
