@@ -24,14 +24,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; of rows that share an id, one; rows without an id stay."""
+    """One document of each group stays; of rows that share an id, the smallest in order of all columns; rows without an
+    id stay."""
     groups = stored(neardup.near_duplicates(docs, k=5).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")))
     gone = groups.where("NOT kept").select("doc_id")
     left = small_join(docs, gone, ["doc_id"], "left_anti").select(docs.columns)
     again = groups.where("kept AND rows > 1").select("doc_id")
     if again.isEmpty():
         return left
-    once = small_join(left, again, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    once = small_join(left, again, ["doc_id"], "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return small_join(left, again, ["doc_id"], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
