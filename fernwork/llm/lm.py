@@ -231,8 +231,8 @@ def trained(rows: DataFrame, v: Vocabulary) -> np.ndarray:
             if count:
                 yield summed([(count, trainer.p.astype(np.float64) * count)], TaskContext.get().partitionId())
 
-        sums = rows.select("classes").mapInArrow(run, SUMS)
-        tasks = 1 + (rows.agg(F.max(F.spark_partition_id())).first()[0] or 0)
+        sums = stored(rows.select("classes").mapInArrow(run, SUMS))
+        tasks = sums.count()
         # the tasks' vectors are added up as they are, in a tree of FAN branches, so neither a task nor the driver gets many
         while tasks > FAN:
             tasks = -(-tasks // FAN)
