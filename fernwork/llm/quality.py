@@ -87,9 +87,9 @@ def chain() -> list[tuple[str, float]]:
     return [(r, cs[k]) for k in range(max(map(len, RULES.values()))) for r, cs in RULES.items() if k < len(cs)]
 
 
-def first_step(m: Column) -> Column:
-    """The first step of the chain that rejects a text with counts m; the number of steps if none does."""
-    values, steps = rates(m), chain()
+def first_step(values: Column) -> Column:
+    """The first step of the chain that rejects the rules' values (a struct); the number of steps if none does."""
+    steps = chain()
     return F.least(*[F.when(values[r] > c, F.lit(k)).otherwise(F.lit(len(steps))) for k, (r, c) in enumerate(steps)])
 
 
@@ -118,9 +118,11 @@ def known(stratum: Column, strata: tuple[str, ...]) -> Column:
 def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.02, miss: float = 0.05, strata: tuple[str, ...] = STRATA, id_col: str = "doc_id", text_col: str = "text", strata_col: str | None = "lang") -> dict[str, dict[str, float]]:
     """Per stratum the cutoff of each rule that could be proved. Collects a count per listed stratum and step."""
     good = labels.where(labels[id_col].isNotNull() & labels["quality"].isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
-    held = measured(small_join(docs, good.where("quality = 1").select(id_col), [id_col], "left_semi"), id_col, text_col, strata_col)
-    trials = held.where(~base_failed(F.col("m"))).select(F.col(id_col).alias("id"), known(F.col("stratum"), strata).alias("stratum"), first_step(F.col("m")).alias("step"))
-    trials = trials.groupBy("id", "stratum").agg(F.min("step").alias("step"))
+    held = small_join(docs, good.where("quality = 1").select(id_col), [id_col], "left_semi")
+    stratum = held[strata_col].cast("string") if strata_col and strata_col in held.columns else F.lit("all")
+    # null where the base rules fail; a filter here would measure every text again
+    step = let(measure(held[text_col]), lambda m: F.when(~base_failed(m), let(F.struct(*[v.alias(r) for r, v in rates(m).items()]), first_step)))
+    trials = held.select(F.col(id_col).alias("id"), known(stratum, strata).alias("stratum"), step.alias("step")).groupBy("id", "stratum").agg(F.min("step").alias("step")).where("step IS NOT NULL")
     by: dict[str, dict[int, int]] = {}
     for row in trials.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n")).collect():
         by.setdefault(row["stratum"], {})[row["step"]] = row["n"]
