@@ -28,19 +28,24 @@ _own: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
 
 
+def pack_code(path: str) -> None:
+    """Writes a zip file of this package, its modules and the texts that they read."""
+    root = Path(__file__).resolve().parents[1]
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted([*root.rglob("*.py"), *root.rglob("*.txt")]):
+            z.write(f, str(f.relative_to(root.parent)))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once an application, so that their Python workers can import it wherever
     they run and wherever the session was started."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    root = Path(__file__).resolve().parents[1]
     folder = tempfile.mkdtemp(prefix="fernwork-ship-")  # Spark itself serves the file from here to the executors
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = os.path.join(folder, "fernwork_code.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, str(f.relative_to(root.parent)))
+    pack_code(path)
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
 

@@ -26,7 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from pathlib import Path
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,7 +82,9 @@ WEAK = frozenset(("Proprietary", "Apache", "BSD", "GPL", "LGPL", "AGPL"))
 
 
 def full_texts() -> dict[str, str]:
-    texts = {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    # executors read them inside the zip file that ship() sends
+    folder = resources.files(__package__).joinpath("licence_texts")
+    texts = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
     # AGPL-3.0 is the text of GPL-3.0 under its own name, but for section 13
     before, section, after = re.split(r"(?s)(  13\. Use with the GNU Affero.*?)(?=  14\. Revised)", texts["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL"), maxsplit=1)
     own = "13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge.\n"

@@ -1,8 +1,12 @@
 """Cases that a reviewer found to be cut short."""
 
+import hashlib
+import subprocess
+import sys
+
 import pytest
 
-from fernwork.llm import html, licenses, lm, quality
+from fernwork.llm import common, html, licenses, lm, quality
 
 GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
 # it under the terms of the GNU General Public License as published by
@@ -74,3 +78,12 @@ def test_rare_stratum_among_many_labels(spark):
     docs = spark.range(1700).selectExpr("id AS doc_id", f"'{text}' AS text", "'es' AS lang")
     labels = spark.range(120_000).selectExpr("id AS doc_id", "1 AS quality")
     assert set(quality.cutoffs(docs, labels)["es"]) == set(quality.RULES)
+
+
+def test_executors_read_the_same_templates(tmp_path):
+    """As executors have it: the package inside a zip file, and no folder of it."""
+    path = str(tmp_path / "code.zip")
+    common.pack_code(path)
+    code = f"import sys; sys.path.insert(0, {path!r}); from fernwork.llm import licenses; assert '.zip' in licenses.__file__; import hashlib; print(hashlib.sha256(repr(licenses.TEMPLATES).encode()).hexdigest())"
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.strip()
+    assert got == hashlib.sha256(repr(licenses.TEMPLATES).encode()).hexdigest()
